@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
-from . import decontaminate as _op9
+from . import decontaminate, fingerprint, jaccard, pii
 
 
 def queries() -> dict:
     return {
-        "op9_decontaminate": _op9.op9_decontaminate,
+        "op1_fingerprint": fingerprint.op1_fingerprint,
+        "op3_pii": pii.op3_pii,
+        "op9_decontaminate": decontaminate.op9_decontaminate,
+        "op10_ngram_jaccard": jaccard.op10_ngram_jaccard,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_decontaminate": _op9.ORACLE}
+    return {
+        "op9_decontaminate": decontaminate.ORACLE,
+        "op10_ngram_jaccard": jaccard.ORACLE,
+    }
