@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import decontaminate, fingerprint, jaccard, pii
+from . import decontaminate, fingerprint, jaccard, pii, quality, sentencepiece
 
 
 def queries() -> dict:
     return {
         "op1_fingerprint": fingerprint.op1_fingerprint,
+        "op2_sentencepiece": sentencepiece.op2_sentencepiece,
         "op3_pii": pii.op3_pii,
+        "op5_quality": quality.op5_quality,
         "op9_decontaminate": decontaminate.op9_decontaminate,
         "op10_ngram_jaccard": jaccard.op10_ngram_jaccard,
     }
