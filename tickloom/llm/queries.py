@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, fingerprint, jaccard, pii, quality, sentencepiece
+from . import decontaminate, fingerprint, html, jaccard, pii, quality, sentencepiece
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op2_sentencepiece": sentencepiece.op2_sentencepiece,
         "op3_pii": pii.op3_pii,
         "op5_quality": quality.op5_quality,
+        "op7_html": html.op7_html,
         "op9_decontaminate": decontaminate.op9_decontaminate,
         "op10_ngram_jaccard": jaccard.op10_ngram_jaccard,
     }
