@@ -137,20 +137,24 @@ def linked(x: np.ndarray, y: np.ndarray) -> bool:
     return OF * shared >= SHARE * (len(x) + len(y) - shared)
 
 
-def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose whole sets link; sets are (doc_id, grams)."""
+def _verified(pairs: DataFrame, docs: DataFrame, n: int, keep: Stage, name: str) -> DataFrame:
+    """The pairs (a, b) whose whole sets link. Only the texts of the pairs' ends are moved, and sets are made where they meet."""
 
     def verify(batches):
         for batch in batches:
-            x, y = batch.column(2), batch.column(3)
-            flag = [linked(np.frombuffer(p.as_py(), np.uint64), np.frombuffer(q.as_py(), np.uint64)) for p, q in zip(x, y, strict=True)]
-            out = batch.select(["a", "b"]).filter(pa.array(flag, pa.bool_()))
-            if out.num_rows:
-                yield out
+            for part in slices(batch, "x"):
+                flag = [linked(x, y) for x, y in zip(_sets(part.column(2), n), _sets(part.column(3), n), strict=True)]
+                out = part.select(["a", "b"]).filter(pa.array(flag, pa.bool_()))
+                if out.num_rows:
+                    yield out
 
-    left = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("grams").alias("x")), "a")
-    both = left.join(sets.select(F.col("doc_id").alias("b"), F.col("grams").alias("y")), "b")
-    return map_arrow(both.select("a", "b", "x", "y"), verify, "a long, b long")
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    texts = keep.write(docs.join(ends, "doc_id", "left_semi"), f"{name}-texts")
+    left = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("x")), "a")
+    both = left.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("y")), "b")
+    found = keep.write(map_arrow(both.select("a", "b", "x", "y"), verify, "a long, b long").distinct(), name)
+    keep.drop(f"{name}-texts")
+    return found
 
 
 def _bounds(x: str, y: str):
@@ -180,16 +184,7 @@ def near_duplicates(docs: DataFrame, n: int = N) -> DataFrame:
     star = shared.join(first, "token").where("doc_id > a").where(_bounds("x", "place"))
     star = keep.write(star.select("a", F.col("doc_id").alias("b")).distinct(), "star")
 
-    def sets(batches):
-        for batch in batches:
-            for part in slices(batch):
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([g.tobytes() for g in _sets(part.column(1), n)], pa.binary())], ["doc_id", "grams"])
-
-    # Only what may link goes on; both rounds read the same table.
-    maybe = shared.join(first.select("token"), "token", "left_semi").select("doc_id").distinct()
-    texts = keep.write(known.join(maybe, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "texts")
-    sized = map_arrow(texts, sets, "doc_id long, grams binary")
-    one = keep.write(_verified(star, sized), "links-1")
+    one = _verified(star, known, n, keep, "links-1")
     found = keep.write(components(spark, one, keep, "round-1"), "found")
 
     placed = shared.join(found.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("token", "doc_id", "place", F.coalesce("component", "doc_id").alias("c"))
@@ -198,7 +193,7 @@ def near_duplicates(docs: DataFrame, n: int = N) -> DataFrame:
     x, y = (placed.select("token", *(F.col(c).alias(p + c) for c in ("doc_id", "place", "c"))) for p in ("x", "y"))
     cross = x.join(y, "token").where("xdoc_id < ydoc_id and xc <> yc").where(_bounds("xplace", "yplace"))
     cross = cross.select(F.col("xdoc_id").alias("a"), F.col("ydoc_id").alias("b")).distinct().join(star, ["a", "b"], "left_anti")
-    two = keep.write(_verified(cross, sized), "links-2")
+    two = _verified(keep.write(cross, "cross"), known, n, keep, "links-2")
 
     copies = named.join(least, "set_hash").where("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
     links = one.unionByName(two).unionByName(copies)
