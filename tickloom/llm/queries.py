@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, fingerprint, html, jaccard, pii, quality, sentencepiece
+from . import decontaminate, fingerprint, html, jaccard, pii, quality, sentencepiece, warc
 
 
 def queries() -> dict:
@@ -12,6 +12,7 @@ def queries() -> dict:
         "op3_pii": pii.op3_pii,
         "op5_quality": quality.op5_quality,
         "op7_html": html.op7_html,
+        "op8_warc": warc.op8_warc,
         "op9_decontaminate": decontaminate.op9_decontaminate,
         "op10_ngram_jaccard": jaccard.op10_ngram_jaccard,
     }
