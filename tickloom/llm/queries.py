@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, fingerprint, html, jaccard, pii, quality, sentencepiece, warc
+from . import decontaminate, fingerprint, html, jaccard, passages, pii, quality, sentencepiece, warc
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op2_sentencepiece": sentencepiece.op2_sentencepiece,
         "op3_pii": pii.op3_pii,
         "op5_quality": quality.op5_quality,
+        "op6_passages": passages.op6_passages,
         "op7_html": html.op7_html,
         "op8_warc": warc.op8_warc,
         "op9_decontaminate": decontaminate.op9_decontaminate,
