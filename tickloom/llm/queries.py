@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, fingerprint, html, jaccard, passages, pii, quality, sentencepiece, warc
+from . import decontaminate, fingerprint, html, jaccard, passages, pii, quality, sentencepiece, substrings, warc
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op1_fingerprint": fingerprint.op1_fingerprint,
         "op2_sentencepiece": sentencepiece.op2_sentencepiece,
         "op3_pii": pii.op3_pii,
+        "op4_suffix_array": substrings.op4_suffix_array,
         "op5_quality": quality.op5_quality,
         "op6_passages": passages.op6_passages,
         "op7_html": html.op7_html,
