@@ -35,8 +35,8 @@ from ._common import map_arrow, plain, table
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
-#: Runs that a worker keeps; a run that is longer than LONG_RUN is never kept.
-MOST_RUNS = 200_000
+#: Runs that a worker keeps in each of two generations; a run that is longer than LONG_RUN is never kept.
+MOST_RUNS = 150_000
 LONG_RUN = 64
 # Kinds of pieces in a model file, and the unknown character's penalty.
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -77,7 +77,7 @@ class Model:
     """Pieces of a model file, with the automaton over those that may stand in a text."""
 
     raw: bytes
-    pieces: list[tuple[str, float, int]] = field(default_factory=list)
+    pieces: list[tuple[str, float, int]] = field(default_factory=list, repr=False)
     prefix: bool = True
 
     def __post_init__(self):
@@ -101,9 +101,12 @@ class Model:
                 self.unknown = i
         self.automaton.make_automaton()
         self.single = {text for text, _, kind in self.pieces if kind in (NORMAL, USER_DEFINED) and len(text) == 1}
-        split = all(MARK not in text.lstrip(MARK) for text, _, kind in self.pieces if kind in (NORMAL, USER_DEFINED))
-        self.runs = re.compile(f"{MARK}*[^{MARK}]*" if split else r"(?s:.+)")
-        self.known: dict[str, tuple[int, ...]] = {}
+        self.split = all(MARK not in text.lstrip(MARK) for text, _, kind in self.pieces if kind in (NORMAL, USER_DEFINED))
+        self.runs = re.compile(f"{MARK}*[^{MARK}]*")
+        # A character that is in no piece stands alone on every path, so the paths before and after it are independent.
+        self.newline = self._fallback("\n") if not any("\n" in text for text, _, kind in self.pieces if kind in (NORMAL, USER_DEFINED)) else []
+        self.marked, self.bare = Known(self.best, MARK), Known(self.best, "")
+        self.spelled = [bytes([int(t[3:5], 16)]) if kind == BYTE else b"" if kind == CONTROL else (" \u2047 " if kind == UNKNOWN else t.replace(MARK, " ")).encode() for t, _, kind in self.pieces]
 
     def _fallback(self, char: str) -> list[int]:
         found = [self.bytes.get(b) for b in char.encode("utf-8", "surrogatepass")]
@@ -111,62 +114,77 @@ class Model:
 
     def best(self, run: str) -> tuple[int, ...]:
         """Ids of the best path through a run."""
-        score, back = [0.0], [(0, None)]
-        found = self.automaton.iter(run)
-        match = next(found, None)
-        for at in range(1, len(run) + 1):
-            top, step = float("-inf"), (1, None)
-            if run[at - 1] not in self.single:
-                top = score[at - 1] + self.floor
-            while match and match[0] == at - 1:  # the output links' pieces that end here
-                size, value, piece = match[1]
-                if (x := score[at - size] + value) > top:
-                    top, step = x, (size, piece)
-                match = next(found, None)
-            score.append(top)
-            back.append(step)
+        n = len(run)
+        score, back = [0.0] + [float("-inf")] * n, [(1, None)] * (n + 1)
+        if self.single.issuperset(run):  # every character is a piece, so only matches relax
+            for end, match in self.automaton.iter(run):
+                size, value, _ = match
+                if (x := score[end + 1 - size] + value) > score[end + 1]:
+                    score[end + 1], back[end + 1] = x, match
+        else:
+            found = self.automaton.iter(run)
+            end, match = next(found, (n, None))
+            for at in range(1, n + 1):
+                if run[at - 1] not in self.single:
+                    score[at] = score[at - 1] + self.floor
+                while end == at - 1:  # the output links' pieces that end here
+                    if (x := score[at - match[0]] + match[1]) > score[at]:
+                        score[at], back[at] = x, match
+                    end, match = next(found, (n, None))
         out: list[int] = []
-        at = len(run)
-        while at:
-            size, piece = back[at]
-            out += [piece] if piece is not None else self._fallback(run[at - 1])[::-1]
-            at -= size
+        while n:
+            size, piece = back[n][0], back[n][-1]
+            out += [piece] if piece is not None else self._fallback(run[n - 1])[::-1]
+            n -= size
         return tuple(out[::-1])
 
     def encode(self, text: str) -> list[int]:
         if not text:
             return []
         out: list[int] = []
+        marked = self.marked
         for k, part in enumerate(text.split(MARK)):
-            out += self._fallback(MARK) if k else ()
-            out += self._encode((MARK if self.prefix and not k else "") + part.replace(" ", MARK))
-        return out
-
-    def _encode(self, text: str) -> list[int]:
-        out: list[int] = []
-        known = self.known
-        for run in self.runs.findall(text):
-            if (ids := known.get(run)) is None:
-                ids = self.best(run) if run else ()
-                if len(run) <= LONG_RUN:
-                    if len(known) >= MOST_RUNS:
-                        known.clear()
-                    known[run] = ids
-            out += ids
+            if k:
+                out += self._fallback(MARK)
+            for n, line in enumerate(part.split("\n") if self.newline else (part,)):
+                if n:
+                    out += self.newline
+                lead = self.prefix and not k and not n
+                words = line.split(" ")
+                if "" in words or not self.split:  # several spaces meet, or one stands at an end
+                    whole = (MARK if lead else "") + line.replace(" ", MARK)
+                    for run in self.runs.findall(whole) if self.split else [whole]:
+                        if run:
+                            out += self.bare[run]
+                    continue
+                out += marked[words[0]] if lead else self.bare[words[0]]
+                for word in words[1:]:
+                    out += marked[word]
         return out
 
     def decode(self, ids) -> str:
-        raw = bytearray()
-        for i in ids:
-            text, _, kind = self.pieces[i]
-            if kind == BYTE:
-                raw.append(int(text[3:5], 16))
-            elif kind != CONTROL:
-                raw += (" ⁇ " if kind == UNKNOWN else text.replace(MARK, " ")).encode()
-        text = raw.decode("utf-8", "surrogatepass")
+        text = b"".join(map(self.spelled.__getitem__, ids)).decode("utf-8", "surrogatepass")
         return text[1:] if self.prefix and text[:1] == " " else text
 
 
+class Known(dict):
+    """Ids of runs in two generations: when the young one is full it becomes the old one, whose runs return when asked for."""
+
+    def __init__(self, best, prefix: str):
+        super().__init__()
+        self.best, self.prefix, self.old = best, prefix, {}
+
+    def __missing__(self, run: str) -> tuple[int, ...]:
+        if (ids := self.old.get(run)) is None:
+            ids = self.best(self.prefix + run)
+        if len(run) <= LONG_RUN:
+            if len(self) >= MOST_RUNS:
+                self.old = dict(self)
+                self.clear()
+            self[run] = ids
+        return ids
+
+
 _MODELS: dict[bytes, Model] = {}
 
 
