@@ -26,7 +26,7 @@ def micros(column: str):
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The event table as a trace: rank, ts (us), tid, cpu, type, value, props."""
+    """The event table as a trace: rank, ts (us), tid, cpu, type, value, props; cents is the value in whole hundredths, k a field of props."""
     return table(spark, sf_dir, "events").select(
-        F.col("event_id").alias("rank"), micros("ts").alias("ts"), F.col("user_id").alias("tid"), (F.col("user_id") % 4).alias("cpu"), F.col("event_type").alias("type"), "value", "props"
+        F.col("event_id").alias("rank"), micros("ts").alias("ts"), F.col("user_id").alias("tid"), (F.col("user_id") % 4).alias("cpu"), F.col("event_type").alias("type"), "value", "props", F.round(F.col("value") * 100).cast("long").alias("cents"), F.get_json_object("props", "$.k").cast("long").alias("k")
     )
