@@ -9,7 +9,8 @@ A document's set holds its distinct 4-word shingles. Two documents link when 100
 4. First round: each class is verified against the least class under each of its prefix shingles, once per pair.
    This alone joins a large group of near copies, in as many pairs as the group has prefix rows.
 5. Second round: only shingles under which two components still meet give all their pairs across components.
-   Length and positional bounds discard pairs in the join; a suffix bound and the whole sets verify.
+   Length and positional bounds discard pairs in the join, and so does the number of prefix tokens that a pair
+   shares (half of a prefix or so are needed); a suffix bound and the whole sets verify.
 6. Components are those of the verified links and the classes.
 
 No group is collected, no pair of equal sets is made, and nothing is capped.
@@ -165,6 +166,17 @@ def _bounds(x: str, y: str):
     return (OF * F.least(*sizes) >= SHARE * F.greatest(*sizes)) & (most * (OF + SHARE) >= SHARE * (sizes[0] + sizes[1]))
 
 
+def _enough(rows: DataFrame) -> DataFrame:
+    """The pairs (a, b) that share enough prefix tokens, of a row (a, b, x, y) for each shared one.
+
+    Of the set whose prefix ends first, all common tokens but those of its own rest are shared prefix tokens, so the
+    overlap is at most their number plus the larger rest."""
+    sizes = [F.shiftright(F.col(c), 32) for c in ("x", "y")]
+    rest = [F.floor((n * SHARE + (OF - 1)) / OF) - 1 for n in sizes]
+    pairs = rows.groupBy("a", "b").agg(F.count("*").alias("m"), F.max("x").alias("x"), F.max("y").alias("y"))
+    return pairs.where((F.col("m") + F.greatest(*rest)) * (OF + SHARE) >= SHARE * (sizes[0] + sizes[1])).select("a", "b")
+
+
 def near_duplicates(docs: DataFrame, n: int = N) -> DataFrame:
     """(doc_id, n_shingles, component_id) for each row; component_id is the least doc_id that links reach."""
     spark = docs.sparkSession
@@ -182,8 +194,7 @@ def near_duplicates(docs: DataFrame, n: int = N) -> DataFrame:
 
     first = shared.groupBy("token").agg(F.min("doc_id").alias("a"), F.min_by("place", "doc_id").alias("x"), F.count("*").alias("n")).where("n > 1")
     star = shared.join(first, "token").where("doc_id > a").where(_bounds("x", "place"))
-    star = keep.write(star.select("a", F.col("doc_id").alias("b")).distinct(), "star")
-
+    star = keep.write(_enough(star.select("a", F.col("doc_id").alias("b"), "x", F.col("place").alias("y"))), "star")
     one = _verified(star, known, n, keep, "links-1")
     found = keep.write(components(spark, one, keep, "round-1"), "found")
 
@@ -192,7 +203,7 @@ def near_duplicates(docs: DataFrame, n: int = N) -> DataFrame:
     placed = keep.write(placed.join(mixed, "token"), "placed")
     x, y = (placed.select("token", *(F.col(c).alias(p + c) for c in ("doc_id", "place", "c"))) for p in ("x", "y"))
     cross = x.join(y, "token").where("xdoc_id < ydoc_id and xc <> yc").where(_bounds("xplace", "yplace"))
-    cross = cross.select(F.col("xdoc_id").alias("a"), F.col("ydoc_id").alias("b")).distinct().join(star, ["a", "b"], "left_anti")
+    cross = _enough(cross.select(F.col("xdoc_id").alias("a"), F.col("ydoc_id").alias("b"), F.col("xplace").alias("x"), F.col("yplace").alias("y"))).join(star, ["a", "b"], "left_anti")
     two = _verified(keep.write(cross, "cross"), known, n, keep, "links-2")
 
     copies = named.join(least, "set_hash").where("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))

@@ -36,7 +36,7 @@ LEAST_Z = 9.0
 STEPS = 300
 RIDGE = 1e-4
 #: Words of which a worker remembers the bucket.
-MOST_WORDS = 200_000
+MOST_WORDS = 100_000
 
 
 def _share(name: str, part: float, whole: float) -> str:
