@@ -12,6 +12,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..session import ship
+
 #: Text bytes that one vectorised step handles; several arrays of eight times this size live at once.
 SLICE_BYTES = 1 << 20
 BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
@@ -67,6 +69,7 @@ def small_batches(spark: SparkSession) -> None:
 
 def map_arrow(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
     small_batches(df.sparkSession)
+    ship(df.sparkSession)
     return df.mapInArrow(f, schema)
 
 
