@@ -62,6 +62,11 @@ def _words(attributes: str) -> frozenset[str]:
     return frozenset(found)
 
 
+def breaks(tag: str) -> bool:
+    """Whether an element begins and ends a block. What shows no text does not."""
+    return tag not in INLINE and tag not in SKIPPED
+
+
 def blocks(page: str) -> list[Block]:
     """Leaf blocks of a page, in page order, whatever state its markup is in."""
     out: list[Block] = []
@@ -89,7 +94,7 @@ def blocks(page: str) -> list[Block]:
 
     def pop(to: int):
         nonlocal links
-        if any(t not in INLINE for t, _, _ in stack[to:]):
+        if any(breaks(t) for t, _, _ in stack[to:]):
             flush()
         links -= sum(t == "a" for t, _, _ in stack[to:])
         del stack[to:]
@@ -135,7 +140,7 @@ def blocks(page: str) -> list[Block]:
                     break
                 if stack[i][0] in scope:
                     break
-        if tag not in INLINE and tag != "br":
+        if breaks(tag) and tag != "br":
             flush()
         if tag in EMPTY:
             if tag == "br":

@@ -174,7 +174,10 @@ def personal_data(docs: DataFrame) -> DataFrame:
         kinds = F.array(*map(F.lit, KINDS))
         return F.array_join(F.transform(F.array_sort(spans), lambda s: F.concat_ws(":", F.element_at(kinds, s.kind + 1), s.start.cast("string"), s.stop.cast("string"))), ",")
 
-    counts = [F.size(F.filter("base", lambda s, i=i: s.kind == i)).cast("long").alias(f"n_{k}") for i, k in enumerate(KINDS)]
+    def count(kind: int):
+        return F.size(F.filter("base", lambda s: s.kind == kind)).cast("long").alias(f"n_{KINDS[kind]}")
+
+    counts = [count(k) for k in range(len(KINDS))]
     return both.select("doc_id", *counts, F.sha2(written(F.col("base")), 256).alias("base_sha256"), written(F.concat("base", "added")).alias("spans"), F.size("added").cast("long").alias("n_added"))
 
 
