@@ -6,10 +6,11 @@ A document's set holds its distinct 4-word shingles. Two documents link when 100
    Any total order gives the same links, so the sketch's collisions cost time, never results.
 2. Each document emits the |x| - ceil(0.85 |x|) + 1 first shingles of its set in that order. Linked sets share one.
 3. Equal sets are one class: only the class's least document goes on, and shingles of one class alone drop out.
-4. First round: each class is verified against the least class under each of its prefix shingles, once per pair.
-   This alone joins a large group of near copies, in as many pairs as the group has prefix rows.
+4. First round: each class is verified against the hub under each of its prefix shingles, once per pair. The hub
+   is the class whose prefix others share most: of near copies, the text that the others were made of. This alone
+   joins a large group of near copies, in as many pairs as the group has prefix rows.
 5. Second round: only shingles under which two components still meet give all their pairs across components.
-   Length and positional bounds discard pairs in the join, and so does the number of prefix tokens that a pair
+   Length and positional bounds discard pairs in the join, as do the tokens that can meet anyone and the number of prefix tokens that a pair
    shares (half of a prefix or so are needed); a suffix bound and the whole sets verify.
 6. Components are those of the verified links and the classes.
 
@@ -22,7 +23,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ._common import SPACED, Stage, Words, components, map_arrow, mix, slices, table
 
@@ -78,7 +79,7 @@ def _levels(docs: DataFrame, n: int) -> np.ndarray:
     salted = map_arrow(docs.select("text"), count, schema).repartition(F.col("chunk"), F.pmod(F.spark_partition_id(), F.lit(16)))
     for row in map_arrow(map_arrow(salted, add, schema).repartition("chunk"), add, schema).collect():
         counts[row.chunk * step : (row.chunk + 1) * step] = np.frombuffer(row.counts, np.int64)
-    return np.log2(counts + 1).astype(np.uint64)
+    return np.minimum(np.log2(counts + 1), 31).astype(np.uint64)
 
 
 def _tokens(grams: np.ndarray, levels: np.ndarray) -> np.ndarray:
@@ -112,19 +113,21 @@ def _prefixes(docs: DataFrame, levels: np.ndarray, n: int) -> DataFrame:
     return map_arrow(docs.select("doc_id", "text"), prefix, "token long, doc_id long, place long")
 
 
-def _classes(docs: DataFrame, n: int) -> DataFrame:
-    """(doc_id, n_shingles, set_hash): set_hash is null for an empty set."""
+def _classes(docs: DataFrame, levels: np.ndarray, n: int) -> DataFrame:
+    """(doc_id, n_shingles, set_hash, last): last is the last token of the prefix; of an empty set both are null."""
+    shared = docs.sparkSession.sparkContext.broadcast(levels)
 
     def classes(batches):
         for batch in batches:
             for part in slices(batch):
-                sizes, keys = [], []
+                sizes, keys, last = [], [], []
                 for grams in _sets(part.column(1), n):
-                    sizes.append(len(grams))
+                    sizes.append(size := len(grams))
+                    last.append(int(_tokens(grams, shared.value)[size + (SHARE * size) // -OF]) if size else None)
                     keys.append(np.array([grams.sum(), mix(grams * np.uint64(0x9E3779B97F4A7C15)).sum()], np.uint64).tobytes() if len(grams) else None)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary())], ["doc_id", "n_shingles", "set_hash"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(last, pa.int64())], ["doc_id", "n_shingles", "set_hash", "last"])
 
-    return map_arrow(docs.select("doc_id", "text"), classes, "doc_id long, n_shingles long, set_hash binary")
+    return map_arrow(docs.select("doc_id", "text"), classes, "doc_id long, n_shingles long, set_hash binary, last long")
 
 
 def linked(x: np.ndarray, y: np.ndarray) -> bool:
@@ -166,14 +169,19 @@ def _bounds(x: str, y: str):
     return (OF * F.least(*sizes) >= SHARE * F.greatest(*sizes)) & (most * (OF + SHARE) >= SHARE * (sizes[0] + sizes[1]))
 
 
+def _rest(place):
+    """How many tokens a set has beyond its prefix."""
+    return F.floor((F.shiftright(place, 32) * SHARE + (OF - 1)) / OF) - 1
+
+
 def _enough(rows: DataFrame) -> DataFrame:
     """The pairs (a, b) that share enough prefix tokens, of a row (a, b, x, y) for each shared one.
 
     Of the set whose prefix ends first, all common tokens but those of its own rest are shared prefix tokens, so the
     overlap is at most their number plus the larger rest."""
     sizes = [F.shiftright(F.col(c), 32) for c in ("x", "y")]
-    rest = [F.floor((n * SHARE + (OF - 1)) / OF) - 1 for n in sizes]
-    pairs = rows.groupBy("a", "b").agg(F.count("*").alias("m"), F.max("x").alias("x"), F.max("y").alias("y"))
+    rest = [_rest(F.col(c)) for c in ("x", "y")]
+    pairs = rows.groupBy("a", "b").agg(F.count("*").alias("m"), F.max("x").alias("x"), F.max("y").alias("y"))  # places differ, sizes do not
     return pairs.where((F.col("m") + F.greatest(*rest)) * (OF + SHARE) >= SHARE * (sizes[0] + sizes[1])).select("a", "b")
 
 
@@ -183,7 +191,7 @@ def near_duplicates(docs: DataFrame, n: int = N) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     keep, known = Stage(spark), docs.where("doc_id is not null")
     levels = _levels(known, n)
-    classes = keep.write(_classes(docs, n), "classes")
+    classes = keep.write(_classes(docs, levels, n), "classes")
     named = classes.where("doc_id is not null and set_hash is not null")
     least = named.groupBy("set_hash").agg(F.min("doc_id").alias("rep"))
 
@@ -192,17 +200,29 @@ def near_duplicates(docs: DataFrame, n: int = N) -> DataFrame:
     shared = prefixes.join(repeated, "token").join(least.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
     shared = keep.write(shared.select("token", "doc_id", "place").distinct(), "shared")
 
-    first = shared.groupBy("token").agg(F.min("doc_id").alias("a"), F.min_by("place", "doc_id").alias("x"), F.count("*").alias("n")).where("n > 1")
-    star = shared.join(first, "token").where("doc_id > a").where(_bounds("x", "place"))
-    star = keep.write(_enough(star.select("a", F.col("doc_id").alias("b"), "x", F.col("place").alias("y"))), "star")
+    # The hub of a group of near copies is the document whose prefix is shared most: edits make shingles of their own, and rare ones come first.
+    hubs = shared.groupBy("doc_id").agg((F.count("*") / (F.first(F.shiftright("place", 32)) - _rest(F.first("place")))).alias("common"))
+    ranked = shared.join(hubs, "doc_id")
+    first = ranked.groupBy("token").agg(F.max(F.struct("common", (-F.col("doc_id")).alias("d"), F.col("place").alias("p"))).alias("hub"), F.count("*").alias("n")).where("n > 1")
+    first = first.select("token", (-F.col("hub.d")).alias("h"), F.col("hub.p").alias("x"))
+    star = shared.join(first, "token").where("doc_id <> h").where(_bounds("x", "place")).select(F.least("h", "doc_id").alias("a"), F.greatest("h", "doc_id").alias("b"), "x", "place")
+    star = keep.write(_enough(star.withColumnRenamed("place", "y")), "star")
     one = _verified(star, known, n, keep, "links-1")
     found = keep.write(components(spark, one, keep, "round-1"), "found")
 
     placed = shared.join(found.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("token", "doc_id", "place", F.coalesce("component", "doc_id").alias("c"))
     mixed = placed.groupBy("token").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("token")
     placed = keep.write(placed.join(mixed, "token"), "placed")
-    x, y = (placed.select("token", *(F.col(c).alias(p + c) for c in ("doc_id", "place", "c"))) for p in ("x", "y"))
-    cross = x.join(y, "token").where("xdoc_id < ydoc_id and xc <> yc").where(_bounds("xplace", "yplace"))
+    # What a set can share with one of another component: the prefix tokens that meet one, and its rest. That holds for
+    # the set whose prefix ends first, since its prefix tokens can only be in the other's prefix.
+    most = placed.groupBy("doc_id").agg((F.count("*") + _rest(F.first("place"))).alias("most")).join(named.select("doc_id", "last").distinct(), "doc_id")
+    placed = placed.join(most, "doc_id").withColumn("before", F.row_number().over(Window.partitionBy("doc_id").orderBy("place")) - 1)
+    x, y = (placed.select("token", *(F.col(c).alias(p + c) for c in ("doc_id", "place", "c", "most", "last", "before"))) for p in ("x", "y"))
+    sizes = F.shiftright("xplace", 32) + F.shiftright("yplace", 32)
+    left = [F.shiftright(c, 32) - F.col(c).bitwiseAND(F.lit((1 << 32) - 1)) - 1 for c in ("xplace", "yplace")]
+    after = F.when(F.col("xlast") <= F.col("ylast"), F.col("xmost") - F.col("xbefore") - 1).otherwise(F.col("ymost") - F.col("ybefore") - 1)
+    reach = F.least("xbefore", "ybefore") + 1 + F.least(after, *left)  # common tokens before this one are in both prefixes
+    cross = x.join(y, "token").where("xdoc_id < ydoc_id and xc <> yc").where(_bounds("xplace", "yplace")).where(reach * (OF + SHARE) >= SHARE * sizes)
     cross = _enough(cross.select(F.col("xdoc_id").alias("a"), F.col("ydoc_id").alias("b"), F.col("xplace").alias("x"), F.col("yplace").alias("y"))).join(star, ["a", "b"], "left_anti")
     two = _verified(keep.write(cross, "cross"), known, n, keep, "links-2")
 
