@@ -36,7 +36,7 @@ from ._common import map_arrow, plain, table
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 #: Runs that a worker keeps in each of two generations; a run that is longer than LONG_RUN is never kept.
-MOST_RUNS = 150_000
+MOST_RUNS = 60_000
 LONG_RUN = 64
 # Kinds of pieces in a model file, and the unknown character's penalty.
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
