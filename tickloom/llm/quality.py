@@ -107,8 +107,8 @@ def fit(rows: list[tuple[np.ndarray, int]], grades: int = GRADES) -> Ordinal:
     if not rows:
         return Ordinal({}, [-2.0 + k * 0.1 for k in range(grades - 1)])
     y = np.array([g for _, g in rows])
-    owner = np.repeat(np.arange(len(rows)), [len(x) for x, _ in rows])
-    where = np.concatenate([x for x, _ in rows])
+    owner = np.repeat(np.arange(len(rows), dtype=np.int32), [len(x) for x, _ in rows])
+    where = np.concatenate([x for x, _ in rows]).astype(np.int32, copy=False)
     n = np.bincount(where, minlength=1 << BITS).astype(float)
     keep = np.zeros(1 << BITS, bool)
     for k in range(grades):  # presence against each grade's share
@@ -170,9 +170,10 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Ordinal:
     some = F.broadcast(sample_labels(labels, sample))  # at most `sample` rows of two numbers
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(some, "doc_id").select("text", "grade")
     got = map_arrow(rows, hashed, "found array<int>, grade int").toArrow()
-    found, grades = got.column("found").combine_chunks(), got.column("grade").to_pylist()
-    pairs = [(np.array(x, np.int64), g) for x, g in zip(found.to_pylist(), grades, strict=True)]
-    return fit(sorted(pairs, key=lambda r: (r[1], len(r[0]), r[0].tolist())))  # the same order in every run
+    found = got.column("found").combine_chunks()
+    values, ends = found.values.to_numpy(), found.offsets.to_numpy()  # numbers stay packed: the sample holds millions
+    pairs = [(values[a:b], g) for a, b, g in zip(ends, ends[1:], got.column("grade").to_pylist())]
+    return fit(sorted(pairs, key=lambda r: (r[1], len(r[0]), r[0].tobytes())))  # the same order in every run
 
 
 def scored(docs: DataFrame, model: Ordinal, keep: float = KEEP) -> DataFrame:
