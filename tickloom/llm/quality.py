@@ -32,7 +32,8 @@ SAMPLE = 12_000
 GRADES = 3
 KEEP = 0.5
 LEAST_DOCS = 20
-LEAST_Z = 9.0
+LEAST_Z = 4.0
+LEAST_PHI = 0.1
 STEPS = 300
 RIDGE = 1e-4
 #: Words of which a worker remembers the bucket.
@@ -115,7 +116,7 @@ def fit(rows: list[tuple[np.ndarray, int]], grades: int = GRADES) -> Ordinal:
         p = (y == k).mean()
         hits = np.bincount(where, weights=(y == k)[owner], minlength=1 << BITS)
         with np.errstate(divide="ignore", invalid="ignore"):
-            keep |= np.abs(hits - n * p) / np.sqrt(n * p * (1 - p)) >= LEAST_Z
+            keep |= np.abs(hits - n * p) / np.sqrt(n * p * (1 - p)) >= max(LEAST_Z, LEAST_PHI * np.sqrt(len(rows)))
     keep &= n >= LEAST_DOCS
     names = np.flatnonzero(keep)
     column = np.cumsum(keep) - 1
