@@ -212,3 +212,38 @@ def test_stream_pairs(spark, tmp_path):
     query = sq.pairs(stream, "tid", "view", "purchase").writeStream.format("memory").queryName("stream_pairs").outputMode("append").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
     query.awaitTermination()
     assert [tuple(r) for r in spark.table("stream_pairs").collect()] == [(1, 10, 20)]
+
+
+def _wake_chain(n, end):
+    """Each worker but the last is blocked from 0 on until the next one, having run for 2, wakes it."""
+    edges = [(n, 0, n, end - 2 * n + 2, "RUNNING")]
+    for i in range(n):
+        edges += [(i, 0, i, end - 2 * i, "BLOCKED"), (i + 1, end - 2 * i, i, end - 2 * i, "DEFAULT")]
+        edges += [(i, end - 2 * i, i, end - 2 * i + 2, "RUNNING")]
+    return edges
+
+
+_EDGE = "src_worker long, src_ts long, dst_worker long, dst_ts long, state string"
+
+
+def test_critical_path_follows_a_long_chain_of_wakeups(spark):
+    n, end = 24, 1000
+    edges = spark.createDataFrame(_wake_chain(n, end), _EDGE)
+    assert gr.reachable(edges, [0]).count() == n + 1
+    rows = gr.critical_path(edges, 0).collect()
+    assert sorted((r.src_ts, r.dst_ts) for r in rows if r.state == "RUNNING") == [(0, end - 2 * n + 2)] + [(end - 2 * i, end - 2 * i + 2) for i in range(n - 1, -1, -1)]
+    assert {r.state for r in rows} == {"RUNNING", "DEFAULT"}
+
+
+def test_critical_path_resolves_deeply_nested_blocks(spark):
+    n, end = 1500, 4000
+    hub = [(9999, 2 * end + i, i, 2 * end + i, "DEFAULT") for i in range(n + 1)]  # few rounds find all workers
+    rows = gr.critical_path(spark.createDataFrame(_wake_chain(n, end) + hub, _EDGE), 0).orderBy("step").collect()
+    assert {r.state for r in rows} == {"RUNNING", "DEFAULT"} and sum(r.state == "RUNNING" for r in rows) == n + 1
+    assert (rows[0].src_worker, rows[0].src_ts) == (n, 0) and all(a.dst_ts <= b.src_ts for a, b in zip(rows, rows[1:]))
+
+
+def test_critical_path_ends_where_workers_wake_each_other_at_one_time(spark):
+    edges = [(1, 0, 1, 10, "BLOCKED"), (2, 0, 2, 10, "BLOCKED"), (2, 10, 1, 10, "DEFAULT"), (1, 10, 2, 10, "DEFAULT"), (1, 10, 1, 10, "DEFAULT")]
+    rows = gr.critical_path(spark.createDataFrame(edges, _EDGE), 1).collect()
+    assert any((r.src_ts, r.dst_ts) == (0, 10) for r in rows)

@@ -52,21 +52,22 @@ def worker_times(edges: DataFrame) -> DataFrame:
     return rows.crossJoin(F.broadcast(total)).select("worker", "time", (100.0 * F.col("time") / F.col("__t")).alias("percent"))
 
 
-def reachable(edges: DataFrame, workers: Sequence[int], rounds: int = 16) -> DataFrame:
+def _kept(df: DataFrame) -> DataFrame:
+    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.localCheckpoint()
+
+
+def reachable(edges: DataFrame, workers: Sequence[int]) -> DataFrame:
     """Workers that are joined to some by vertical edges, in either direction: a frontier join a round, until none is new."""
     spark = edges.sparkSession
     links = vertical(edges).select(F.col("src_worker").alias("a"), F.col("dst_worker").alias("b"))
-    links = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    found = spark.createDataFrame([(int(x),) for x in workers], "worker long")
-    frontier, n = found, found.count()
-    for _ in range(rounds):
-        new = links.join(frontier.select(F.col("worker").alias("a")), "a").select(F.col("b").alias("worker")).distinct().join(found, "worker", "left_anti")
-        found = found.unionByName(new).distinct()
-        frontier, m = new, found.count()
-        if m == n:
-            break
-        n = m
-    return found
+    links = _kept(links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    found = frontier = spark.createDataFrame([(int(x),) for x in set(workers)], "worker long")
+    while True:
+        new = links.join(frontier.select(F.col("worker").alias("a")), "a").select(F.col("b").alias("worker")).distinct()
+        frontier = _kept(new.join(found, "worker", "left_anti"))
+        if frontier.isEmpty():
+            return found
+        found = _kept(found.unionByName(frontier))
 
 
 def critical_path(edges: DataFrame, worker: int, start: int | None = None, end: int | None = None) -> DataFrame:
@@ -82,40 +83,45 @@ def critical_path(edges: DataFrame, worker: int, start: int | None = None, end:
         into: dict = {}
         wake: dict = {}
         for e in rows:
-            if e[0] == e[2]:
-                into[e[2], e[3]] = e
-            else:
+            if e[0] != e[2]:
                 wake[e[2], e[3]] = e
+            elif e[1] < e[3]:  # a wakeup of oneself takes no time
+                into[e[2], e[3]] = e
         own = [e for e in rows if e[0] == worker == e[2] and (start is None or e[3] > start) and (end is None or e[1] < end)]
         out: list[tuple] = []
 
-        def resolve(target, at, low, depth):
-            """Edges of the path that ends at (target, at), from low on, latest first."""
-            path = []
-            while at > low:
-                if (w := wake.get((target, at))) and depth < 1000 and w[0] != target:
+        def resolve_block(e):
+            """Edges of the path that ends where the block e ends, latest first. What is left of outer blocks is on a stack."""
+            path, seen, todo = [], set(), []
+
+            def enter(e, low):
+                w = wake[e[2], e[3]]
+                seen.add(e)
+                path.append(w)
+                todo.append((w[0], w[1], low))
+
+            enter(e, e[1])
+            while todo:
+                target, at, low = todo.pop()
+                if at > low and (w := wake.get((target, at))):
                     path.append(w)
                     target, at = w[0], w[1]
-                    if at <= low:
-                        break
+                if at <= low:
+                    continue
                 e = into.get((target, at))
                 if e is None:
                     path.append((target, low, target, at, "UNKNOWN"))
-                    break
-                if e[4] in BLOCK and (e[2], e[3]) in wake:
-                    path += resolve_block(e, max(low, e[1]), depth + 1)
+                    continue
+                todo.append((target, e[1], low))
+                if e[4] in BLOCK and (e[2], e[3]) in wake and e not in seen:  # workers can wake each other at one time
+                    enter(e, max(low, e[1]))
                 else:
                     path.append((target, max(low, e[1]), target, at, e[4]))
-                at = e[1]
             return path
 
-        def resolve_block(e, low, depth):
-            w = wake[e[2], e[3]]
-            return [w, *resolve(w[0], w[1], low, depth)] if depth < 200 else [(e[0], low, e[2], e[3], e[4])]
-
         for e in own:
             if e[4] in BLOCK and (e[2], e[3]) in wake:
-                out += reversed(resolve_block(e, e[1], 0))
+                out += reversed(resolve_block(e))
             else:
                 out.append(e)
         return pd.DataFrame([(i, *e) for i, e in enumerate(out)], columns=["step", "src_worker", "src_ts", "dst_worker", "dst_ts", "state"])
