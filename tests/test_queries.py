@@ -81,3 +81,17 @@ def test_pool_slots_do_not_overlap(spark):
     rows = q.queries()["state_pool_slots"](spark, DATA).orderBy("name", "slot", "start").collect()
     for a, b in zip(rows, rows[1:]):
         assert (a.name, a.slot) != (b.name, b.slot) or a.end < b.start
+
+
+def test_call_graphs_hold_all_calls(spark):
+    calls = q.queries()["call_stack"](spark, DATA).collect()
+    low, high = q.T0 + 5 * q.DAY, q.T0 + 8 * q.DAY
+    within = [c for c in calls if c.start <= high and c.end >= low]
+    assert max(c.depth for c in within) > 4 and max(c.depth for c in calls) > 6
+    rows = q.queries()["call_graph_self_time"](spark, DATA).collect()
+    own = {}
+    for c in calls:
+        own["/".join(c.path)] = own.get("/".join(c.path), 0) + c.self_time
+    assert {r.path: r.self_time for r in rows} == own and sum(r.n for r in rows) == len(calls)
+    assert sum(r.n for r in q.queries()["call_graph_in_range"](spark, DATA).collect()) == len(within)
+    assert {r.path for r in q.queries()["flame_graph"](spark, DATA).collect()} == set(own)

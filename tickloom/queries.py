@@ -644,19 +644,19 @@ def call_depth_histogram(spark, d):
 
 @query("call_graph_self_time")
 def call_graph_self_time(spark, d):
-    g = cs.call_graph(cs.self_times(_calls(spark, d).where("depth <= 6"), ["tid"]))
+    g = cs.call_graph(cs.self_times(_calls(spark, d), ["tid"]))
     return g.select(F.array_join("path", "/").alias("path"), "n", "duration", "self_time", "minimum", "maximum", F.round("mean", 1).alias("mean"), F.round("deviation", 0).alias("deviation"))
 
 
 @query("call_graph_in_range")
 def call_graph_in_range(spark, d):
-    g = cs.call_graph_in_range(_calls(spark, d).where("depth <= 4"), ["tid"], T0 + 5 * DAY, T0 + 8 * DAY)
+    g = cs.call_graph_in_range(_calls(spark, d), ["tid"], T0 + 5 * DAY, T0 + 8 * DAY)
     return g.select(F.array_join("path", "/").alias("path"), "n", "duration", "self_time")
 
 
 @query("flame_graph")
 def flame_graph(spark, d):
-    return cs.flame(cs.call_graph(_calls(spark, d).where("depth <= 4"))).select(F.array_join("path", "/").alias("path"), "depth", "x", "width")
+    return cs.flame(cs.call_graph(_calls(spark, d))).select(F.array_join("path", "/").alias("path"), "depth", "x", "width")
 
 
 @query("sampled_call_graph", f"""WITH {EV}, s AS (SELECT CASE WHEN k % 2 = 0 THEN ['main', type, 'f' || CAST(k % 5 AS VARCHAR)] ELSE ['main', type] END AS stack FROM ev), p AS (SELECT list_slice(stack, 1, i) AS p FROM s, range(1, 4) t(i) WHERE i <= len(stack)) SELECT array_to_string(p, '/') AS path, count(*) AS weight FROM p GROUP BY p""")
