@@ -95,3 +95,11 @@ def test_call_graphs_hold_all_calls(spark):
     assert {r.path: r.self_time for r in rows} == own and sum(r.n for r in rows) == len(calls)
     assert sum(r.n for r in q.queries()["call_graph_in_range"](spark, DATA).collect()) == len(within)
     assert {r.path for r in q.queries()["flame_graph"](spark, DATA).collect()} == set(own)
+
+
+def test_critical_path_spans_the_trace(spark):
+    """The path of a worker ends with its last edge, and its own steps leave no time out."""
+    edges = q._edges(spark, DATA).where("src_worker = 5 and dst_worker = 5").collect()
+    rows = q.queries()["critical_path"](spark, DATA).orderBy("step").collect()
+    assert max(r.dst_ts for r in rows) == max(e.dst_ts for e in edges) > q.T0 + 4 * q.DAY
+    assert min(r.src_ts for r in rows) == min(e.src_ts for e in edges)

@@ -690,7 +690,7 @@ def graph_worker_ends(spark, d):
 
 @query("critical_path")
 def critical_path(spark, d):
-    return gr.critical_path(_edges(spark, d).where(F.col("src_ts") < T0 + 4 * DAY), 5)
+    return gr.critical_path(_edges(spark, d), 5)
 
 
 # ---------------------------------------------------------------- clocks, scalars, definitions
