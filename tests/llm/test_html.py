@@ -42,3 +42,16 @@ def test_tables(spark):
     assert got[0][1] == got[1][1] == "Head\nFirst text.\nSecond text here."
     assert got[2][1] == "" and got[4] == (None, "", 0) and got[3][2] == 5 * 60000 - 1
     assert h.extracted(pages.limit(0)).count() == 0
+
+
+def test_only_hiding_attributes_hide():
+    shown = ['title="a hidden gem"', 'class="card hidden md:block"', "data-x='hidden '", 'title="display: none"', 'aria-hidden="false"', 'title="aria-hidden=true"', 'alt=x class=" hidden "', 'style="overflow: hidden ; display:block"']
+    for a in shown:
+        assert [b.text for b in h.blocks(f"<div {a}>text</div>")] == ["text"], a
+    for a in ("hidden", "HIDDEN=''", 'class="x" hidden', 'class="x"hidden', "hidden=until-found", "style='color:red;display : none'", "style=display:none", 'aria-hidden="true"', "aria-hidden=true"):
+        assert h.blocks(f"<div {a}>text</div>") == [], a
+
+
+def test_text_of_math_stays():
+    page = "<p>so <math display='block'><mrow><mi>x</mi><mspace/><mo>=</mo><mn>2</mn></mrow></math> holds<p>next"
+    assert [b.text for b in h.blocks(page)] == ["so x=2 holds", "next"]

@@ -34,16 +34,19 @@ PAGES = 240
 STEPS = 120
 
 # HTML's elements by how a block scan treats them.
-SKIPPED = frozenset("script style template noscript svg math iframe object canvas select textarea button datalist audio video head title".split())
+SKIPPED = frozenset("script style template noscript svg annotation annotation-xml iframe object canvas select textarea button datalist audio video head title".split())
 RAW = frozenset("script style textarea title iframe noscript template".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark meter output progress q rp rt ruby s samp small span strike strong sub sup time tt u var wbr input picture source map area basefont nobr".split())
+MATH = frozenset("math maction menclose merror mfenced mfrac mi mmultiscripts mn mo mover mpadded mphantom mprescripts mroot mrow ms mspace msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder munderover none semantics".split())
+INLINE = MATH | frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark meter output progress q rp rt ruby s samp small span strike strong sub sup time tt u var wbr input picture source map area basefont nobr".split())
 EMPTY = frozenset("area base br col embed hr img input link meta param source track wbr basefont frame keygen".split())
 CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
 OWN_CLOSE = {"li": ("li", frozenset("ul ol menu".split())), "dt": ("dt dd", frozenset(["dl"])), "dd": ("dt dd", frozenset(["dl"])), "tr": ("tr td th", frozenset("table tbody thead tfoot".split())), "td": ("td th", frozenset(["tr"])), "th": ("td th", frozenset(["tr"])), "option": ("option", frozenset(["select"]))}
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
 _NAMES = re.compile(r"(?:\b(?:class|id|role|itemprop)\s*=\s*)(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
-_HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|/|$)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
+_ATTRIBUTE = re.compile(r"([^\s\"'>/=][^\s>/=]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
+_MAY_HIDE = re.compile(r"hidden|display", re.I)
+_NO_DISPLAY = re.compile(r"(?:^|[;\s])display\s*:\s*none", re.I)
 
 
 @dataclass
@@ -62,6 +65,16 @@ def _words(attributes: str) -> frozenset[str]:
     return frozenset(found)
 
 
+def hides(attributes: str) -> bool:
+    """Whether attributes hide their element, each by its own name."""
+    if not _MAY_HIDE.search(attributes):
+        return False
+    found: dict[str, str] = {}
+    for m in _ATTRIBUTE.finditer(attributes):
+        found.setdefault(m[1].lower(), m[2] or m[3] or m[4] or "")  # the first of a name holds
+    return "hidden" in found or found.get("aria-hidden", "").strip().lower() == "true" or bool(_NO_DISPLAY.search(found.get("style", "")))
+
+
 def breaks(tag: str) -> bool:
     """Whether an element begins and ends a block. What shows no text does not."""
     return tag not in INLINE and tag not in SKIPPED
@@ -152,9 +165,9 @@ def blocks(page: str) -> list[Block]:
                     pop(i)
                     break
         attributes = m[3] or ""
-        if attributes.rstrip().endswith("/") and tag in ("svg", "path", "use"):
+        if attributes.rstrip().endswith("/") and (tag in ("svg", "path", "use") or tag in MATH):
             continue
-        hidden = tag in SKIPPED or bool(attributes and _HIDDEN.search(attributes))
+        hidden = tag in SKIPPED or bool(attributes) and hides(attributes)
         if tag in RAW:
             end = re.compile(rf"</{tag}(?=[\s/>])[^>]*(?:>|\Z)", re.I).search(page, at)
             at = end.end() if end else n
