@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -16,6 +17,8 @@ from ..session import ship
 
 #: Text bytes that one vectorised step handles; several arrays of eight times this size live at once.
 SLICE_BYTES = 1 << 20
+#: Seconds of writing a table after which its shuffle files are worth a collection of garbage.
+LONG_S = 3
 BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 BASE_INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
 _POWERS: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
@@ -44,9 +47,10 @@ class Stage:
         self.spark, self.root = spark, f"{shared_dir(spark).rstrip('/')}/tickloom-{uuid.uuid4().hex}"
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
-        path = f"{self.root}/{name}"
+        path, began = f"{self.root}/{name}", time.monotonic()
         df.write.mode("overwrite").parquet(path)
-        release(self.spark)
+        if time.monotonic() - began > LONG_S:
+            release(self.spark)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, name: str) -> None:

@@ -4,14 +4,19 @@ A document's set holds its distinct 4-word shingles. Two documents link when 100
 
 1. A sketch of fixed size counts all shingles of all documents; it orders shingles from rare to frequent.
    Any total order gives the same links, so the sketch's collisions cost time, never results.
-2. Each document emits the |x| - ceil(0.85 |x|) + 1 first shingles of its set in that order. Linked sets share one.
-3. Equal sets are one class: only the class's least document goes on, and shingles of one class alone drop out.
+2. Texts are read once more: each document's size, the key of its set and the |x| - ceil(0.85 |x|) + 1 first shingles
+   in that order, its prefix, are written. Linked sets share a prefix shingle.
+3. Equal sets are one class, known by the 64-bit hash of its set and its size; a class emits its prefix once a task, and
+   shingles of one class alone drop out.
 4. First round: each class is verified against the hub under each of its prefix shingles, once per pair. The hub
    is the class whose prefix others share most: of near copies, the text that the others were made of. This alone
    joins a large group of near copies, in as many pairs as the group has prefix rows.
-5. Second round: only shingles under which two components still meet give all their pairs across components.
-   Length and positional bounds discard pairs in the join, as do the tokens that can meet anyone and the number of prefix tokens that a pair
-   shares (half of a prefix or so are needed); a suffix bound and the whole sets verify.
+5. Second round, across components: of the set whose prefix ends first, all common shingles but those beyond the prefix are
+   shared prefix shingles, so a pair shares `_least_common` of them at least. Sizes fall into classes a factor of STEP
+   wide. A shingle of a set counts towards a size class where a set of that class and of another component has it, too;
+   size classes with too few shingles go, twice. Of the rest only the shingles that the fewest sets share, all but
+   `_least_common` - 1, are joined (a second prefix, now by exact counts), within pairs of size classes. Positional bounds and the
+   number of joined shingles discard pairs; a suffix bound and the whole sets verify.
 6. Components are those of the verified links and the classes.
 
 No group is collected, no pair of equal sets is made, and nothing is capped.
@@ -21,18 +26,24 @@ component. Repeated rows are each returned; rows that share a doc_id are one nod
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ._common import SPACED, Stage, Words, components, map_arrow, mix, slices, table
 
 N = 4
 SHARE, OF = 85, 100
-SKETCH_BITS = 18
+SKETCH_BITS = 22
 CHUNKS = 64
 #: Bits of a token that hold the rarity level; the rest is the shingle's hash.
 LEVEL_BITS = 6
+#: Each size class is this factor wide, so linked sets are REACH classes apart at most.
+STEP, REACH = 1.04, 5
+#: Up to so many ids (8 MB) go to all executors to pick their texts; more are joined.
+FEW_IDS = 1_000_000
 
 
 def _sets(column: pa.Array, n: int = N):
@@ -51,114 +62,106 @@ def _sets(column: pa.Array, n: int = N):
             yield np.zeros(0, np.uint64)
 
 
+# ---------------------------------------------------------------- rarity
+
+
+def _planes(sums: dict[int, np.ndarray]):
+    """Counts of chunks as compressed byte planes; most counts need one."""
+    rows = []
+    for chunk, counts in sums.items():
+        plane = 0
+        while counts.any():
+            rows.append((chunk, plane, zlib.compress((counts & 255).astype(np.uint8).tobytes(), 1)))
+            counts, plane = counts >> 8, plane + 1
+    if rows:
+        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int32(), pa.binary()), strict=True)], ["chunk", "plane", "counts"])
+
+
 def _levels(docs: DataFrame, n: int) -> np.ndarray:
     """Log2 of the number of shingle occurrences in each of the sketch's buckets, over all documents."""
     width = 1 << SKETCH_BITS
     step = width // CHUNKS
 
     def count(batches):
-        total = np.zeros(width, np.int64)
+        total, waiting, held = np.zeros(width, np.int64), [], 0
         for batch in batches:
             for part in slices(batch):
-                w = Words(part.column(0), SPACED)
-                total += np.bincount((w.grams(n) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=width)
-        if total.any():
-            yield pa.RecordBatch.from_arrays([pa.array(range(CHUNKS), pa.int32()), pa.array([total[k * step : (k + 1) * step].tobytes() for k in range(CHUNKS)], pa.binary())], ["chunk", "counts"])
+                waiting.append((Words(part.column(0), SPACED).grams(n) >> np.uint64(64 - SKETCH_BITS)).astype(np.int32))
+                held += len(waiting[-1])
+                if held > width // 2:
+                    total += np.bincount(np.concatenate(waiting), minlength=width)
+                    waiting, held = [], 0
+        if held:
+            total += np.bincount(np.concatenate(waiting), minlength=width)
+        yield from _planes({k: total[k * step : (k + 1) * step] for k in range(CHUNKS)})
 
     def add(batches):
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
-            for k, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                sums[k] = sums.get(k, 0) + np.frombuffer(x, np.int64)
-        if sums:
-            yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], ["chunk", "counts"])
+            for k, plane, x in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                own = sums.setdefault(k, np.zeros(step, np.int64))
+                own += np.frombuffer(zlib.decompress(x), np.uint8).astype(np.int64) << (8 * plane)
+        yield from _planes(sums)
 
-    schema = "chunk int, counts binary"
-    counts = np.zeros(width, np.int64)
+    schema = "chunk int, plane int, counts binary"
+    levels = np.zeros(width, np.int64)
     # Two steps of adding, so that no task meets the counts of all partitions.
     salted = map_arrow(docs.select("text"), count, schema).repartition(F.col("chunk"), F.pmod(F.spark_partition_id(), F.lit(16)))
     for row in map_arrow(map_arrow(salted, add, schema).repartition("chunk"), add, schema).collect():
-        counts[row.chunk * step : (row.chunk + 1) * step] = np.frombuffer(row.counts, np.int64)
-    return np.minimum(np.log2(counts + 1), 31).astype(np.uint64)
+        levels[row.chunk * step : (row.chunk + 1) * step] += np.frombuffer(zlib.decompress(row.counts), np.uint8).astype(np.int64) << (8 * row.plane)
+    return np.minimum(np.log2(levels + 1), 63).astype(np.uint8)
 
 
 def _tokens(grams: np.ndarray, levels: np.ndarray) -> np.ndarray:
     """Shingles as integers that sort from rare to frequent."""
-    level = levels[(grams >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
+    level = levels[(grams >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)].astype(np.uint64)
     return np.sort((level << np.uint64(64 - LEVEL_BITS)) | (grams >> np.uint64(LEVEL_BITS)))
 
 
-def _least_overlap(x, y):
-    return -((SHARE * (x + y)) // -(OF + SHARE))
+# ---------------------------------------------------------------- sets and prefixes
 
 
 def _prefixes(docs: DataFrame, levels: np.ndarray, n: int) -> DataFrame:
-    """(token, doc_id, place): place holds the set's size and the token's position in it."""
+    """(doc_id, n_shingles, key, tokens): the hash of the set and the tokens of its prefix, null for an empty one."""
     shared = docs.sparkSession.sparkContext.broadcast(levels)
 
     def prefix(batches):
         for batch in batches:
             for part in slices(batch):
-                ids = part.column(0).to_numpy(zero_copy_only=False)
-                tokens, owners, places = [], [], []
-                for doc, grams in zip(ids, _sets(part.column(1), n), strict=True):
-                    if size := len(grams):
-                        some = _tokens(grams, shared.value)[: size + (SHARE * size) // -OF + 1]
-                        tokens.append(some)
-                        owners.append(np.full(len(some), doc, np.int64))
-                        places.append((np.int64(size) << 32) + np.arange(len(some)))
-                if tokens:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.concatenate(owners)), pa.array(np.concatenate(places))], ["token", "doc_id", "place"])
-
-    return map_arrow(docs.select("doc_id", "text"), prefix, "token long, doc_id long, place long")
-
-
-def _classes(docs: DataFrame, levels: np.ndarray, n: int) -> DataFrame:
-    """(doc_id, n_shingles, set_hash, last): last is the last token of the prefix; of an empty set both are null."""
-    shared = docs.sparkSession.sparkContext.broadcast(levels)
-
-    def classes(batches):
-        for batch in batches:
-            for part in slices(batch):
-                sizes, keys, last = [], [], []
+                sizes, keys, tokens = [], [], []
                 for grams in _sets(part.column(1), n):
                     sizes.append(size := len(grams))
-                    last.append(int(_tokens(grams, shared.value)[size + (SHARE * size) // -OF]) if size else None)
-                    keys.append(np.array([grams.sum(), mix(grams * np.uint64(0x9E3779B97F4A7C15)).sum()], np.uint64).tobytes() if len(grams) else None)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(last, pa.int64())], ["doc_id", "n_shingles", "set_hash", "last"])
+                    keys.append(int(mix(grams * np.uint64(0x9E3779B97F4A7C15)).sum().view(np.int64)) if size else None)
+                    tokens.append(_tokens(grams, shared.value)[: size + (SHARE * size) // -OF + 1].tobytes() if size else None)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.int64()), pa.array(tokens, pa.binary())], ["doc_id", "n_shingles", "key", "tokens"])
 
-    return map_arrow(docs.select("doc_id", "text"), classes, "doc_id long, n_shingles long, set_hash binary, last long")
+    return map_arrow(docs.select("doc_id", "text"), prefix, "doc_id long, n_shingles long, key long, tokens binary")
 
 
-def linked(x: np.ndarray, y: np.ndarray) -> bool:
-    """Whether two sorted sets link. The suffix bound splits both at x's median and adds what either half can share."""
-    least = _least_overlap(len(x), len(y))
-    mid = len(x) // 2
-    cut = int(np.searchsorted(y, x[mid]))
-    if min(mid, cut) + min(len(x) - mid, len(y) - cut) < least:
-        return False
-    shared = len(np.intersect1d(x, y, assume_unique=True))
-    return OF * shared >= SHARE * (len(x) + len(y) - shared)
+def _places(sets: DataFrame) -> DataFrame:
+    """(token, key, place) of each class, once a task; place holds the set's size and the token's position in it."""
 
+    def flat(batches):
+        seen: set[int] = set()
+        for batch in batches:
+            tokens, keys, places = [], [], []
+            for size, key, data in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                if key not in seen:
+                    seen.add(key)
+                    tokens.append(own := np.frombuffer(data, np.int64))
+                    keys.append(np.full(len(own), key, np.int64))
+                    places.append((np.int64(size) << 32) + np.arange(len(own)))
+            if tokens:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (tokens, keys, places)], ["token", "key", "place"])
 
-def _verified(pairs: DataFrame, docs: DataFrame, n: int, keep: Stage, name: str) -> DataFrame:
-    """The pairs (a, b) whose whole sets link. Only the texts of the pairs' ends are moved, and sets are made where they meet."""
+    return map_arrow(sets.where("doc_id is not null and key is not null").select("n_shingles", "key", "tokens"), flat, "token long, key long, place long")
 
-    def verify(batches):
-        for batch in batches:
-            for part in slices(batch, "x"):
-                flag = [linked(x, y) for x, y in zip(_sets(part.column(2), n), _sets(part.column(3), n), strict=True)]
-                out = part.select(["a", "b"]).filter(pa.array(flag, pa.bool_()))
-                if out.num_rows:
-                    yield out
 
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    texts = keep.write(docs.join(ends, "doc_id", "left_semi"), f"{name}-texts")
-    left = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("x")), "a")
-    both = left.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("y")), "b")
-    found = keep.write(map_arrow(both.select("a", "b", "x", "y"), verify, "a long, b long").distinct(), name)
-    keep.drop(f"{name}-texts")
-    return found
+# ---------------------------------------------------------------- bounds
+
+
+def _least_overlap(x, y):
+    return -((SHARE * (x + y)) // -(OF + SHARE))
 
 
 def _bounds(x: str, y: str):
@@ -174,63 +177,174 @@ def _rest(place):
     return F.floor((F.shiftright(place, 32) * SHARE + (OF - 1)) / OF) - 1
 
 
-def _enough(rows: DataFrame) -> DataFrame:
-    """The pairs (a, b) that share enough prefix tokens, of a row (a, b, x, y) for each shared one.
+def _enough(rows: DataFrame, missing: str = "0") -> DataFrame:
+    """The pairs (a, b) that share enough prefix tokens, of a row (a, b, x, y) for each shared one but `missing` at most.
 
     Of the set whose prefix ends first, all common tokens but those of its own rest are shared prefix tokens, so the
     overlap is at most their number plus the larger rest."""
     sizes = [F.shiftright(F.col(c), 32) for c in ("x", "y")]
     rest = [_rest(F.col(c)) for c in ("x", "y")]
-    pairs = rows.groupBy("a", "b").agg(F.count("*").alias("m"), F.max("x").alias("x"), F.max("y").alias("y"))  # places differ, sizes do not
+    pairs = rows.groupBy("a", "b").agg((F.count("*") + F.max(F.expr(missing))).alias("m"), F.max("x").alias("x"), F.max("y").alias("y"))  # places differ, sizes do not
     return pairs.where((F.col("m") + F.greatest(*rest)) * (OF + SHARE) >= SHARE * (sizes[0] + sizes[1])).select("a", "b")
 
 
+def size_class(sizes: np.ndarray) -> np.ndarray:
+    return np.floor(np.log(np.maximum(sizes, 1)) / np.log(STEP)).astype(np.int64)
+
+
+def _least_common(sizes: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """For each set and each of 2 REACH + 1 size classes: shared prefix tokens that a link needs at least; none links where it is 1 << 40.
+
+    With partners of size z, more than 85 (s + z) / 185 - 0.85 max(s, z): it grows up to z = s and falls beyond."""
+    s, other = sizes.astype(float)[:, None], own[:, None] + np.arange(-REACH, REACH + 1)
+    low = np.maximum(np.ceil(s * SHARE / OF - 1e-6), np.floor(STEP**other - 1e-6))
+    high = np.minimum(np.floor(s * OF / SHARE + 1e-6), np.ceil(STEP ** (other + 1) + 1e-6))
+    need = [SHARE * (s + z) / (OF + SHARE) - SHARE / OF * np.maximum(s, z) for z in (low, high)]
+    least = np.maximum(1, np.floor(np.minimum(*need) - 1e-6) + 1)
+    return np.where(low <= high, least, 1 << 40).astype(np.int64)
+
+
+# ---------------------------------------------------------------- pairs
+
+
+def linked(x: np.ndarray, y: np.ndarray) -> bool:
+    """Whether two sorted sets link. The suffix bound splits both at x's median and adds what either half can share."""
+    least = _least_overlap(len(x), len(y))
+    mid = len(x) // 2
+    cut = int(np.searchsorted(y, x[mid]))
+    if min(mid, cut) + min(len(x) - mid, len(y) - cut) < least:
+        return False
+    shared = len(np.intersect1d(x, y, assume_unique=True))
+    return OF * shared >= SHARE * (len(x) + len(y) - shared)
+
+
+def _verified(pairs: DataFrame, first: DataFrame, docs: DataFrame, n: int, keep: Stage, name: str) -> DataFrame:
+    """The pairs (a, b) of classes whose whole sets link, as doc_ids (a, b) beside their keys (x, y).
+
+    The text of b is moved once for each pair, that of a once."""
+
+    def verify(batches):
+        for batch in batches:
+            for part in slices(batch, "u"):
+                flag = [bool(len(x)) and bool(len(y)) and linked(x, y) for x, y in zip(_sets(part.column(4), n), _sets(part.column(5), n), strict=True)]
+                out = part.select(["a", "b", "x", "y"]).filter(pa.array(flag, pa.bool_()))
+                if out.num_rows:
+                    yield out
+
+    spark = docs.sparkSession
+    named = pairs.select(F.col("a").alias("x"), F.col("b").alias("y"))
+    for key, doc in (("x", "a"), ("y", "b")):
+        named = named.join(first.select(F.col("key").alias(key), F.col("rep").alias(doc)), key)
+    named = keep.write(named.select("a", "b", "x", "y").where("a <> b").distinct(), f"{name}-pairs")
+    ends = keep.write(named.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), f"{name}-ends")
+    few = F.broadcast(ends) if ends.count() <= FEW_IDS else ends
+    texts = keep.write(docs.join(few, "doc_id", "left_semi"), f"{name}-texts")
+    both = named.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("v")), "b")
+    both = both.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("u")), "a")
+    found = keep.write(map_arrow(both.select("a", "b", "x", "y", "u", "v"), verify, "a long, b long, x long, y long").distinct(), name)
+    for x in ("pairs", "ends", "texts"):
+        keep.drop(f"{name}-{x}")
+    return spark.read.schema(found.schema).parquet(f"{keep.root}/{name}")
+
+
+_ROWS = "token long, key long, c long, class long, place long"
+
+
+def _narrowed(rows: DataFrame, last: bool) -> DataFrame:
+    """The rows (token, key, c, class, place) of sets that may link with one of another component; see `_least_common`.
+
+    If `last`, only those of the second prefix, each with the lower and the upper size class of the pairs that it is for."""
+    seen = rows.groupBy("token", "class").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count("*").alias("n"))
+    # One entry for each size class: a set of a trillion shingles is in the 700th.
+    seen = seen.groupBy("token").agg(F.collect_list(F.struct("class", "low", "high")).alias("seen"), F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high")).where("low <> high").drop("low", "high")
+    bits = f"aggregate(seen, 0, (b, z) -> b | if(abs(z.class - class) <= {REACH} and (z.low <> c or z.high <> c), shiftleft(1, cast(z.class - class + {REACH} as int)), 0))"
+    near = rows.join(seen, "token").withColumn("bits", F.expr(bits)).where("bits <> 0")
+    each = near.groupBy("key", "c", "class").agg(F.collect_list(F.struct("token", "place", "n", "bits")).alias("rows"))  # a prefix at most
+    width = 2 * REACH + 1
+
+    def narrow(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            key, c, own = (batch.column(i).to_numpy() for i in range(3))
+            lists = batch.column(3)
+            counts = np.diff(lists.offsets.to_numpy())
+            token, place, often, bits = (lists.flatten().field(i).to_numpy() for i in range(4))
+            row = np.repeat(np.arange(len(counts)), counts)
+            flags = (bits[:, None] >> np.arange(width)) & 1 > 0
+            starts = np.cumsum(counts) - counts
+            has = np.add.reduceat(flags.astype(np.int64), starts)
+            need = _least_common((place >> 32)[starts], own)
+            flags &= (has >= need)[row]
+            if not last:
+                some = flags.any(1)
+                yield pa.RecordBatch.from_arrays([pa.array(x[some]) for x in (token, key[row], c[row], own[row], place)], ["token", "key", "c", "class", "place"])
+                continue
+            for k in range(width):
+                some = np.flatnonzero(flags[:, k])
+                if not len(some):
+                    continue
+                some = some[np.lexsort((token[some], often[some], row[some]))]
+                of = row[some]
+                heads = np.flatnonzero(np.r_[True, of[1:] != of[:-1]])
+                rank = np.arange(len(of)) - np.repeat(heads, np.diff(np.r_[heads, len(of)]))
+                some = some[rank < has[of, k] - need[of, k] + 1]
+                of, to = row[some], own[row[some]] + k - REACH
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (token[some], key[of], c[of], own[of], place[some], np.minimum(own[of], to), np.maximum(own[of], to), need[of, k])], ["token", "key", "c", "class", "place", "lower", "upper", "need"])
+
+    return map_arrow(each, narrow, _ROWS + (", lower long, upper long, need long" if last else ""))
+
+
 def near_duplicates(docs: DataFrame, n: int = N) -> DataFrame:
     """(doc_id, n_shingles, component_id) for each row; component_id is the least doc_id that links reach."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     keep, known = Stage(spark), docs.where("doc_id is not null")
-    levels = _levels(known, n)
-    classes = keep.write(_classes(docs, levels, n), "classes")
-    named = classes.where("doc_id is not null and set_hash is not null")
-    least = named.groupBy("set_hash").agg(F.min("doc_id").alias("rep"))
-
-    prefixes = _prefixes(known, levels, n)
-    repeated = prefixes.groupBy("token").agg(F.count("*").alias("n")).where("n > 1").select("token")
-    shared = prefixes.join(repeated, "token").join(least.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
-    shared = keep.write(shared.select("token", "doc_id", "place").distinct(), "shared")
-
-    # The hub of a group of near copies is the document whose prefix is shared most: edits make shingles of their own, and rare ones come first.
-    hubs = shared.groupBy("doc_id").agg((F.count("*") / (F.first(F.shiftright("place", 32)) - _rest(F.first("place")))).alias("common"))
-    ranked = shared.join(hubs, "doc_id")
-    first = ranked.groupBy("token").agg(F.max(F.struct("common", (-F.col("doc_id")).alias("d"), F.col("place").alias("p"))).alias("hub"), F.count("*").alias("n")).where("n > 1")
-    first = first.select("token", (-F.col("hub.d")).alias("h"), F.col("hub.p").alias("x"))
-    star = shared.join(first, "token").where("doc_id <> h").where(_bounds("x", "place")).select(F.least("h", "doc_id").alias("a"), F.greatest("h", "doc_id").alias("b"), "x", "place")
-    star = keep.write(_enough(star.withColumnRenamed("place", "y")), "star")
-    one = _verified(star, known, n, keep, "links-1")
-    found = keep.write(components(spark, one, keep, "round-1"), "found")
-
-    placed = shared.join(found.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("token", "doc_id", "place", F.coalesce("component", "doc_id").alias("c"))
-    mixed = placed.groupBy("token").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("token")
-    placed = keep.write(placed.join(mixed, "token"), "placed")
-    # What a set can share with one of another component: the prefix tokens that meet one, and its rest. That holds for
-    # the set whose prefix ends first, since its prefix tokens can only be in the other's prefix.
-    most = placed.groupBy("doc_id").agg((F.count("*") + _rest(F.first("place"))).alias("most")).join(named.select("doc_id", "last").distinct(), "doc_id")
-    placed = placed.join(most, "doc_id").withColumn("before", F.row_number().over(Window.partitionBy("doc_id").orderBy("place")) - 1)
-    x, y = (placed.select("token", *(F.col(c).alias(p + c) for c in ("doc_id", "place", "c", "most", "last", "before"))) for p in ("x", "y"))
-    sizes = F.shiftright("xplace", 32) + F.shiftright("yplace", 32)
-    left = [F.shiftright(c, 32) - F.col(c).bitwiseAND(F.lit((1 << 32) - 1)) - 1 for c in ("xplace", "yplace")]
-    after = F.when(F.col("xlast") <= F.col("ylast"), F.col("xmost") - F.col("xbefore") - 1).otherwise(F.col("ymost") - F.col("ybefore") - 1)
-    reach = F.least("xbefore", "ybefore") + 1 + F.least(after, *left)  # common tokens before this one are in both prefixes
-    cross = x.join(y, "token").where("xdoc_id < ydoc_id and xc <> yc").where(_bounds("xplace", "yplace")).where(reach * (OF + SHARE) >= SHARE * sizes)
-    cross = _enough(cross.select(F.col("xdoc_id").alias("a"), F.col("ydoc_id").alias("b"), F.col("xplace").alias("x"), F.col("yplace").alias("y"))).join(star, ["a", "b"], "left_anti")
-    two = _verified(keep.write(cross, "cross"), known, n, keep, "links-2")
-
-    copies = named.join(least, "set_hash").where("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
-    links = one.unionByName(two).unionByName(copies)
-    all_found = components(spark, links, keep, "round-2").withColumnRenamed("id", "doc_id").withColumnRenamed("component", "component_id")
-    out = classes.join(all_found, "doc_id", "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    sets = keep.write(_prefixes(docs, _levels(known, n), n), "sets")
+    classes = sets.where("doc_id is not null and key is not null").groupBy("key", "n_shingles").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("last"))
+    classes = keep.write(classes, "classes")
+
+    places = _places(sets)
+    repeated = places.groupBy("token").agg(F.min("key").alias("low"), F.max("key").alias("high")).where("low <> high").select("token")
+    shared = places.join(repeated, "token").groupBy("key").agg(F.collect_set(F.struct("token", "place")).alias("rows"))  # a prefix at most
+    # The hub of a group of near copies is the set whose prefix is shared most: edits make shingles of their own, and rare ones come first.
+    size = F.shiftright(F.col("rows")[0]["place"], 32)
+    shared = keep.write(shared.select("key", "rows", (F.size("rows") / (size - _rest(F.col("rows")[0]["place"]))).alias("common")), "shared")
+    slim = keep.write(sets.select("doc_id", "n_shingles", "key"), "slim")
+    keep.drop("sets")
+
+    flat = shared.select("key", "common", F.inline("rows"))
+    first = flat.groupBy("token").agg(F.max(F.struct("common", "key", "place")).alias("hub")).select("token", F.col("hub.key").alias("a"), F.col("hub.place").alias("x"))
+    star = flat.select("token", F.col("key").alias("b"), F.col("place").alias("y")).join(first, "token").where("a <> b").where(_bounds("x", "y"))
+    star = keep.write(_enough(star), "star")
+    reps = classes.select("key", "rep")
+    one = _verified(star, reps, known, n, keep, "links-1")
+    found = components(spark, one.select(F.col("x").alias("a"), F.col("y").alias("b")), keep, "round-1").withColumnRenamed("id", "key")
+
+    placed = shared.select("key", "rows").join(found, "key", "left").select("key", F.coalesce("component", "key").alias("c"), F.inline("rows"))
+    placed = placed.withColumn("class", F.floor(F.log(F.shiftright("place", 32).cast("double")) / float(np.log(STEP))).cast("long")).select("token", "key", "c", "class", "place")
+    placed = keep.write(_narrowed(placed, False), "narrowed-1")
+    placed = keep.write(_narrowed(placed, True), "narrowed-2")
+    keep.drop("shared")
+    keep.drop("narrowed-1")
+    on = ["token", "lower", "upper"]
+    x = placed.where("class = lower").select(*on, F.col("key").alias("a"), F.col("c").alias("ac"), F.col("place").alias("x"), F.col("need").alias("an"))
+    y = placed.where("class = upper").select(*on, F.col("key").alias("b"), F.col("c").alias("bc"), F.col("place").alias("y"), F.col("need").alias("bn"))
+    cross = x.join(y, on).where("ac <> bc and (lower < upper or a < b)").where(_bounds("x", "y")).select("a", "b", "x", "y", "an", "bn")
+    # The join lacks the last need - 1 tokens of either second prefix: common ones beyond the one that ends first are fewer than the larger need.
+    cross = _enough(cross, "greatest(an, bn) - 1")
+    cross = cross.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    cross = keep.write(cross.join(star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), "cross")
+    keep.drop("narrowed-2")
+    two = _verified(cross, reps, known, n, keep, "links-2")
+
+    several = slim.where("doc_id is not null and key is not null").groupBy("doc_id").agg(F.min("key").alias("low"), F.max("key").alias("high")).where("low <> high").select("doc_id")
+    same = slim.join(several, "doc_id").join(classes, ["key", "n_shingles"]).select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
+    links = one.select("a", "b").unionByName(two.select("a", "b")).unionByName(same)
+    joined = components(spark, links, keep, "round-2").withColumnRenamed("id", "rep")
+    named = classes.join(joined, "rep", "left").select("key", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
+    out = slim.join(named, ["key", "n_shingles"], "left")
+    return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, n: int = N) -> DataFrame:
