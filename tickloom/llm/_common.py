@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import gc
-import tempfile
 import time
 import uuid
 from collections.abc import Callable, Iterator
@@ -13,7 +12,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..session import ship
+from ..session import shared_dir, ship
 
 #: Text bytes that one vectorised step handles; several arrays of eight times this size live at once.
 SLICE_BYTES = 1 << 20
@@ -31,20 +30,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share. Only where none is named (tests) one is made."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = tempfile.mkdtemp(prefix="tickloom-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found
-
-
 class Stage:
     """Tables written to the shared folder, so that a lost executor costs no recomputation of what precedes."""
 
     def __init__(self, spark: SparkSession):
-        self.spark, self.root = spark, f"{shared_dir(spark).rstrip('/')}/tickloom-{uuid.uuid4().hex}"
+        self.spark, self.root = spark, f"{shared_dir(spark)}/tickloom-{uuid.uuid4().hex}"
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
         path, began = f"{self.root}/{name}", time.monotonic()
@@ -194,9 +184,9 @@ def winnow(hashes: np.ndarray, window: int) -> np.ndarray:
     if not n:
         return np.zeros(0, np.int64)
     window = min(window, n)
-    least = _sliding(hashes, window, np.minimum)
+    least = sliding(hashes, window, np.minimum)
     pad = np.zeros(window - 1, np.uint64)
-    most = _sliding(np.concatenate([pad, least, pad]), window, np.maximum)
+    most = sliding(np.concatenate([pad, least, pad]), window, np.maximum)
     found = np.flatnonzero(hashes == most)
     value = hashes[found]
     if not (value[1:] == value[:-1]).any():
@@ -211,7 +201,7 @@ def winnow(hashes: np.ndarray, window: int) -> np.ndarray:
     return np.array(keep, np.int64)
 
 
-def _sliding(x: np.ndarray, window: int, f) -> np.ndarray:
+def sliding(x: np.ndarray, window: int, f) -> np.ndarray:
     span = 1
     while span * 2 <= window:
         x = f(x[: len(x) - span], x[span:])
@@ -223,11 +213,40 @@ def _sliding(x: np.ndarray, window: int, f) -> np.ndarray:
 # ---------------------------------------------------------------- connected components
 
 
-def components(spark: SparkSession, links: DataFrame, keep: Stage, name: str) -> DataFrame:
+#: Up to so many links (16 bytes each) are joined by one task; more by steps over the whole table.
+FEW_LINKS = 1 << 20
+
+
+def _united(batches):
+    """(id, component) of all ends of the links, by union and find."""
+    parent: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        top = x
+        while (up := parent.setdefault(top, top)) != top:
+            top = up
+        while x != top:
+            parent[x], x = top, parent[x]
+        return top
+
+    for batch in batches:
+        for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            a, b = find(a), find(b)
+            parent[max(a, b)] = min(a, b)
+    ids = list(parent)
+    for k in range(0, len(ids), 1 << 16):
+        part = ids[k : k + (1 << 16)]
+        yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array([find(x) for x in part], pa.int64())], ["id", "component"])
+
+
+def components(spark: SparkSession, links: DataFrame, keep: Stage, name: str, few: int = FEW_LINKS) -> DataFrame:
     """(id, component) of all ends of links (a, b): component is the least id that links reach.
 
-    Alternates large-star and small-star steps until no edge changes; nothing is collected but counts."""
+    Up to `few` links one task joins them; of more, large-star and small-star steps alternate until no edge changes. Nothing is
+    collected but counts."""
     edges = keep.write(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct(), f"{name}-0")
+    if edges.count() <= few:
+        return keep.write(map_arrow(edges.coalesce(1), _united, "id long, component long"), f"{name}-all")
     step, before = 0, None
     while True:
         both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))

@@ -15,8 +15,9 @@ A document's set holds its distinct 4-word shingles. Two documents link when 100
    shared prefix shingles, so a pair shares `_least_common` of them at least. Sizes fall into classes a factor of STEP
    wide. A shingle of a set counts towards a size class where a set of that class and of another component has it, too;
    size classes with too few shingles go, twice. Of the rest only the shingles that the fewest sets share, all but
-   `_least_common` - 1, are joined (a second prefix, now by exact counts), within pairs of size classes. Positional bounds and the
-   number of joined shingles discard pairs; a suffix bound and the whole sets verify.
+   `_least_common` - 1, are joined (a second prefix, now by exact counts), within pairs of size classes. Positional bounds, what
+   the first round found both to have in common with one hub, and the number of joined shingles discard pairs; a suffix bound and the
+   whole sets verify.
 6. Components are those of the verified links and the classes.
 
 No group is collected, no pair of equal sets is made, and nothing is capped.
@@ -177,15 +178,15 @@ def _rest(place):
     return F.floor((F.shiftright(place, 32) * SHARE + (OF - 1)) / OF) - 1
 
 
-def _enough(rows: DataFrame, missing: str = "0") -> DataFrame:
-    """The pairs (a, b) that share enough prefix tokens, of a row (a, b, x, y) for each shared one but `missing` at most.
+def _enough(rows: DataFrame, missing: str = "0", part: int = 1) -> DataFrame:
+    """The pairs (a, b) that share enough prefix tokens, or that part (1 / part) of it, of a row (a, b, x, y) for each shared one but `missing` at most.
 
     Of the set whose prefix ends first, all common tokens but those of its own rest are shared prefix tokens, so the
     overlap is at most their number plus the larger rest."""
     sizes = [F.shiftright(F.col(c), 32) for c in ("x", "y")]
     rest = [_rest(F.col(c)) for c in ("x", "y")]
     pairs = rows.groupBy("a", "b").agg((F.count("*") + F.max(F.expr(missing))).alias("m"), F.max("x").alias("x"), F.max("y").alias("y"))  # places differ, sizes do not
-    return pairs.where((F.col("m") + F.greatest(*rest)) * (OF + SHARE) >= SHARE * (sizes[0] + sizes[1])).select("a", "b")
+    return pairs.where((part * F.col("m") + F.greatest(*rest)) * (OF + SHARE) >= SHARE * (sizes[0] + sizes[1])).select("a", "b")
 
 
 def size_class(sizes: np.ndarray) -> np.ndarray:
@@ -218,33 +219,73 @@ def linked(x: np.ndarray, y: np.ndarray) -> bool:
     return OF * shared >= SHARE * (len(x) + len(y) - shared)
 
 
-def _verified(pairs: DataFrame, first: DataFrame, docs: DataFrame, n: int, keep: Stage, name: str) -> DataFrame:
-    """The pairs (a, b) of classes whose whole sets link, as doc_ids (a, b) beside their keys (x, y).
+_MEASURES = ("common", "size", "alike", "beyond", "lacks_0", "lacks_1", "lacks_2", "lacks_3")
 
-    The text of b is moved once for each pair, that of a once."""
+
+def _verified(pairs: DataFrame, first: DataFrame, docs: DataFrame, n: int, keep: Stage, name: str, levels=None, shared: DataFrame | None = None) -> DataFrame:
+    """The pairs (a, b) of classes as doc_ids (a, b) beside their keys (x, y), with `ok` where their whole sets link.
+
+    The text of b is moved once for each pair, that of a once. With `levels` and `shared` also: how many shingles they have in
+    common, the size of a's set, of b's shingles that a lacks the number that are shared in prefixes (`alike`) and the number beyond b's
+    prefix (`beyond`), and a bit for each of a's shingles that b lacks (`lacks_0` to `lacks_3`; several can have one bit)."""
+    names = ["a", "b", "x", "y", "ok", *_MEASURES]
 
     def verify(batches):
         for batch in batches:
             for part in slices(batch, "u"):
-                flag = [bool(len(x)) and bool(len(y)) and linked(x, y) for x, y in zip(_sets(part.column(4), n), _sets(part.column(5), n), strict=True)]
-                out = part.select(["a", "b", "x", "y"]).filter(pa.array(flag, pa.bool_()))
-                if out.num_rows:
-                    yield out
+                rows = []
+                tokens = part.column(6).to_pylist() if levels is not None else [None] * part.num_rows
+                for x, y, own in zip(_sets(part.column(4), n), _sets(part.column(5), n), tokens, strict=True):
+                    ok = bool(len(x)) and bool(len(y)) and linked(x, y)
+                    if levels is None:
+                        rows.append((ok, *[0] * len(_MEASURES)))
+                        continue
+                    size, common = len(y), len(np.intersect1d(x, y, assume_unique=True))
+                    theirs, prefix = _tokens(x, levels.value), _tokens(y, levels.value)[: size + (SHARE * size) // -OF + 1]
+                    beyond = size - common - len(np.setdiff1d(prefix, theirs, assume_unique=True))
+                    alike = len(np.setdiff1d(np.array(own, np.int64).view(np.uint64), theirs))
+                    flags = np.zeros(256, np.uint8)
+                    flags[(np.setdiff1d(x, y, assume_unique=True) >> np.uint64(56)).astype(np.int64)] = 1
+                    rows.append((ok, common, len(x), alike, beyond, *np.packbits(flags).view(np.int64).tolist()))
+                extra = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.bool_(), *[pa.int64()] * len(_MEASURES)), strict=True)]
+                yield pa.RecordBatch.from_arrays([*part.columns[:4], *extra], names)
 
-    spark = docs.sparkSession
     named = pairs.select(F.col("a").alias("x"), F.col("b").alias("y"))
     for key, doc in (("x", "a"), ("y", "b")):
         named = named.join(first.select(F.col("key").alias(key), F.col("rep").alias(doc)), key)
     named = keep.write(named.select("a", "b", "x", "y").where("a <> b").distinct(), f"{name}-pairs")
-    ends = keep.write(named.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), f"{name}-ends")
-    few = F.broadcast(ends) if ends.count() <= FEW_IDS else ends
+    ends = named.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    few = F.broadcast(ends) if named.count() <= FEW_IDS // 2 else ends
     texts = keep.write(docs.join(few, "doc_id", "left_semi"), f"{name}-texts")
     both = named.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("v")), "b")
+    if shared is not None:
+        both = both.join(shared.select(F.col("key").alias("y"), F.col("rows.token").alias("tokens")), "y")
     both = both.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("u")), "a")
-    found = keep.write(map_arrow(both.select("a", "b", "x", "y", "u", "v"), verify, "a long, b long, x long, y long").distinct(), name)
-    for x in ("pairs", "ends", "texts"):
+    columns = ["a", "b", "x", "y", "u", "v"] + ["tokens"] * (shared is not None)
+    found = map_arrow(both.select(*columns), verify, "a long, b long, x long, y long, ok boolean, " + ", ".join(f"{x} long" for x in _MEASURES)).distinct()
+    found = keep.write(found if shared is not None else found.where("ok"), name)
+    for x in ("pairs", "texts"):
         keep.drop(f"{name}-{x}")
-    return spark.read.schema(found.schema).parquet(f"{keep.root}/{name}")
+    return found
+
+
+def _hubs(verified: DataFrame) -> DataFrame:
+    """(key, hub, measures): what the first round tells of each class and, of its hubs, the one that most classes met."""
+    of = verified.groupBy("x").agg(F.count("*").alias("met"), F.max("size").alias("size"))
+    every = verified.join(of.select("x", "met"), "x").select(F.col("y").alias("key"), "met", F.col("x").alias("hub"), *_MEASURES)
+    itself = {"common": F.col("size"), "size": F.col("size")}
+    every = every.unionByName(of.select(F.col("x").alias("key"), "met", F.col("x").alias("hub"), *(itself.get(m, F.lit(0).cast("long")).alias(m) for m in _MEASURES)))
+    return every.groupBy("key").agg(F.max(F.struct("met", "hub", *_MEASURES)).alias("h")).select("key", "h.hub", *(f"h.{m}" for m in _MEASURES))
+
+
+def _most_common():
+    """Shingles that two sets which met the same hub can have in common, by their measures (prefixed x and y).
+
+    Those in the hub are all but the ones that either lacks. Of others: where x's prefix ends first, those in it are shared
+    ones of both prefixes, and the rest is beyond it."""
+    lacked = [F.bit_count(F.col(f"xlacks_{k}").bitwiseOR(F.col(f"ylacks_{k}"))) for k in range(4)]
+    lacking = F.greatest(sum(lacked[1:], lacked[0]), *(F.col(f"{p}size") - F.col(f"{p}common") for p in "xy"))
+    return F.col("xsize") - lacking + F.least("xalike", "yalike") + F.greatest("xbeyond", "ybeyond")
 
 
 _ROWS = "token long, key long, c long, class long, place long"
@@ -300,7 +341,8 @@ def near_duplicates(docs: DataFrame, n: int = N) -> DataFrame:
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     keep, known = Stage(spark), docs.where("doc_id is not null")
-    sets = keep.write(_prefixes(docs, _levels(known, n), n), "sets")
+    levels = _levels(known, n)
+    sets = keep.write(_prefixes(docs, levels, n), "sets")
     classes = sets.where("doc_id is not null and key is not null").groupBy("key", "n_shingles").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("last"))
     classes = keep.write(classes, "classes")
 
@@ -316,9 +358,11 @@ def near_duplicates(docs: DataFrame, n: int = N) -> DataFrame:
     flat = shared.select("key", "common", F.inline("rows"))
     first = flat.groupBy("token").agg(F.max(F.struct("common", "key", "place")).alias("hub")).select("token", F.col("hub.key").alias("a"), F.col("hub.place").alias("x"))
     star = flat.select("token", F.col("key").alias("b"), F.col("place").alias("y")).join(first, "token").where("a <> b").where(_bounds("x", "y"))
-    star = keep.write(_enough(star), "star")
+    # Pairs with a third of what a link needs are measured, too: what a set has of the hub tells what it can share with the others.
+    star = keep.write(_enough(star, part=3), "star")
     reps = classes.select("key", "rep")
-    one = _verified(star, reps, known, n, keep, "links-1")
+    met = _verified(star, reps, known, n, keep, "links-1", spark.sparkContext.broadcast(levels), shared)
+    one, hubs = met.where("ok"), _hubs(met)
     found = components(spark, one.select(F.col("x").alias("a"), F.col("y").alias("b")), keep, "round-1").withColumnRenamed("id", "key")
 
     placed = shared.select("key", "rows").join(found, "key", "left").select("key", F.coalesce("component", "key").alias("c"), F.inline("rows"))
@@ -327,12 +371,14 @@ def near_duplicates(docs: DataFrame, n: int = N) -> DataFrame:
     placed = keep.write(_narrowed(placed, True), "narrowed-2")
     keep.drop("shared")
     keep.drop("narrowed-1")
-    on = ["token", "lower", "upper"]
-    x = placed.where("class = lower").select(*on, F.col("key").alias("a"), F.col("c").alias("ac"), F.col("place").alias("x"), F.col("need").alias("an"))
-    y = placed.where("class = upper").select(*on, F.col("key").alias("b"), F.col("c").alias("bc"), F.col("place").alias("y"), F.col("need").alias("bn"))
-    cross = x.join(y, on).where("ac <> bc and (lower < upper or a < b)").where(_bounds("x", "y")).select("a", "b", "x", "y", "an", "bn")
+    placed = placed.join(hubs, "key", "left")
+    on, own = ["token", "lower", "upper"], ["c", "need", "hub", *_MEASURES]
+    x = placed.where("class = lower").select(*on, F.col("key").alias("a"), F.col("place").alias("x"), *(F.col(k).alias(f"x{k}") for k in own))
+    y = placed.where("class = upper").select(*on, F.col("key").alias("b"), F.col("place").alias("y"), *(F.col(k).alias(f"y{k}") for k in own))
+    near = F.coalesce(F.col("xhub") != F.col("yhub"), F.lit(True)) | (_most_common() * (OF + SHARE) >= SHARE * (F.shiftright("x", 32) + F.shiftright("y", 32)))
+    cross = x.join(y, on).where("xc <> yc and (lower < upper or a < b)").where(_bounds("x", "y")).where(near).select("a", "b", "x", "y", "xneed", "yneed")
     # The join lacks the last need - 1 tokens of either second prefix: common ones beyond the one that ends first are fewer than the larger need.
-    cross = _enough(cross, "greatest(an, bn) - 1")
+    cross = _enough(cross, "greatest(xneed, yneed) - 1")
     cross = cross.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     cross = keep.write(cross.join(star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), "cross")
     keep.drop("narrowed-2")
