@@ -10,6 +10,8 @@ from collections.abc import Sequence
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
+from ..session import checkpointed
+
 # Edge states by what they do to a path.
 PASS = ("RUNNING", "INTERRUPTED", "PREEMPTED", "TIMER", "USER_INPUT", "BLOCK_DEVICE", "IPI", "DEFAULT", "EPS", "UNKNOWN", "PASS")
 BLOCK = ("BLOCKED", "NETWORK", "BLOCK")
@@ -52,22 +54,18 @@ def worker_times(edges: DataFrame) -> DataFrame:
     return rows.crossJoin(F.broadcast(total)).select("worker", "time", (100.0 * F.col("time") / F.col("__t")).alias("percent"))
 
 
-def _kept(df: DataFrame) -> DataFrame:
-    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.localCheckpoint()
-
-
 def reachable(edges: DataFrame, workers: Sequence[int]) -> DataFrame:
     """Workers that are joined to some by vertical edges, in either direction: a frontier join a round, until none is new."""
     spark = edges.sparkSession
     links = vertical(edges).select(F.col("src_worker").alias("a"), F.col("dst_worker").alias("b"))
-    links = _kept(links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    links = checkpointed(links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     found = frontier = spark.createDataFrame([(int(x),) for x in set(workers)], "worker long")
     while True:
         new = links.join(frontier.select(F.col("worker").alias("a")), "a").select(F.col("b").alias("worker")).distinct()
-        frontier = _kept(new.join(found, "worker", "left_anti"))
+        frontier = checkpointed(new.join(found, "worker", "left_anti"))
         if frontier.isEmpty():
             return found
-        found = _kept(found.unionByName(frontier))
+        found = checkpointed(found.unionByName(frontier))
 
 
 def critical_path(edges: DataFrame, worker: int, start: int | None = None, end: int | None = None) -> DataFrame:

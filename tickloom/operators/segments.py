@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.types import IntegralType
 
 
 def pair(events: DataFrame, keys: Sequence[str], begin: Column, end: Column, order: Sequence[str] = ("ts", "rank"), keep: Sequence[str] = ()) -> DataFrame:
@@ -26,11 +27,14 @@ def length(start: str = "start", end: str = "end") -> Column:
 
 
 def statistics(rows: DataFrame, by: Sequence[str], value: Column, total: bool = False) -> DataFrame:
-    """count, min, max, mean, sample standard deviation (null up to two values), total; with `total`, a row for all besides."""
+    """count, min, max, mean, sample standard deviation (null up to two values), total; with `total`, a row for all besides.
+
+    The total of whole numbers is a decimal(30, 0): that of a few years in microseconds, times some hundred thousand, is beyond a long."""
     v = rows.withColumn("__v", value)
+    whole = isinstance(v.schema["__v"].dataType, IntegralType)
     groups = v.rollup(*by) if total else v.groupBy(*by) if by else v.groupBy()
     n = F.count("__v")
-    return groups.agg(n.alias("n"), F.min("__v").alias("minimum"), F.max("__v").alias("maximum"), F.avg("__v").alias("mean"), F.when(n > 2, F.stddev_samp("__v")).alias("deviation"), F.sum("__v").alias("total"))
+    return groups.agg(n.alias("n"), F.min("__v").alias("minimum"), F.max("__v").alias("maximum"), F.avg("__v").alias("mean"), F.when(n > 2, F.stddev_samp("__v")).alias("deviation"), F.sum(F.col("__v").cast("decimal(20,0)") if whole else "__v").alias("total"))
 
 
 def extremes(rows: DataFrame, by: Sequence[str], value: Column) -> DataFrame:

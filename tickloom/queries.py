@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from .functions import scalars as sc
 from .operators import aggregates as ag, callstack as cs, clocks as ck, declarative as de, filters as fi, graphs as gr, kernel as ke, matching as ma, segments as se, states as st
 from .plans import as_of, global_lag, global_rank, overlap_join, point_join
-from .session import events, micros, table
+from .session import events, micros, table, shared_dir
 from .sources import readers as rd
 
 DAY = 86_400_000_000
@@ -225,9 +225,9 @@ def state_single(spark, d):
 _TIMES = [T0 + k * DAY for k in (2, 5, 6, 13, 21)]
 
 
-@query("state_2d_times", f'WITH {IV} SELECT DISTINCT tid, start, "end", value FROM iv JOIN (VALUES {", ".join(f"({t})" for t in _TIMES)}) t(t) ON t.t BETWEEN start AND "end" WHERE tid < 50')
+@query("state_2d_times", f'WITH {IV} SELECT DISTINCT tid, start, "end", value FROM iv JOIN (VALUES {", ".join(f"({t})" for t in _TIMES)}) t(t) ON t.t BETWEEN start AND "end"')
 def state_2d_times(spark, d):
-    return st.at_times(type_intervals(spark, d).where("tid < 50"), _TIMES)
+    return st.at_times(type_intervals(spark, d), _TIMES)
 
 
 @query("state_2d_range", f'WITH {IV} SELECT tid, start, "end", value FROM iv WHERE tid IN (3, 5, 8) AND start <= {T0 + 9 * DAY} AND "end" >= {T0 + 4 * DAY}')
@@ -236,9 +236,9 @@ def state_2d_range(spark, d):
 
 
 @query("state_history_sampled", f"""WITH {IV}, g AS (SELECT unnest(range({T0 + DAY}, {T0 + 20 * DAY} + 1, {5 * HOUR})) AS t UNION SELECT {T0 + 20 * DAY})
-SELECT DISTINCT tid, start, "end", value FROM iv JOIN g ON g.t BETWEEN start AND "end" WHERE tid < 20""")
+SELECT DISTINCT tid, start, "end", value FROM iv JOIN g ON g.t BETWEEN iv.start AND iv."end" """)
 def state_history_sampled(spark, d):
-    return st.sampled(type_intervals(spark, d).where("tid < 20"), T0 + DAY, T0 + 20 * DAY, 5 * HOUR)
+    return st.sampled(type_intervals(spark, d), T0 + DAY, T0 + 20 * DAY, 5 * HOUR)
 
 
 @query("state_until_non_null", f'WITH {IV}, v AS (SELECT * REPLACE (nullif(value, \'view\') AS value) FROM iv) SELECT tid, start, "end", value FROM v WHERE tid = 9 AND value IS NOT NULL AND start < {T0 + 25 * DAY} AND "end" >= {T0 + 3 * DAY} ORDER BY start LIMIT 1')
@@ -270,10 +270,10 @@ def state_push_pop_depth(spark, d):
 
 @query("state_stack_intervals", f"""WITH {_OPS}, b AS (SELECT *, lag(depth, 1, 0) OVER (PARTITION BY tid ORDER BY ts, rank) AS before FROM dep),
 p AS (SELECT * FROM b WHERE s = 1)
-SELECT p.tid, p.depth, p.ts AS start, p.type AS value, coalesce((SELECT min(q.ts) FROM b q WHERE q.tid = p.tid AND q.s = -1 AND q.before > q.depth AND q.depth = p.depth - 1 AND (q.ts, q.rank) > (p.ts, p.rank)) - 1, {END}) AS "end" FROM p WHERE p.tid < 40""")
+SELECT p.tid, p.depth, p.ts AS start, p.type AS value, coalesce((SELECT min(q.ts) FROM b q WHERE q.tid = p.tid AND q.s = -1 AND q.before > q.depth AND q.depth = p.depth - 1 AND (q.ts, q.rank) > (p.ts, p.rank)) - 1, {END}) AS "end" FROM p""")
 def state_stack_intervals(spark, d):
     ops, push = _ops(spark, d)
-    return st.stack_intervals(ops.where("tid < 40"), ["tid"], push, "type", END, ("ts", "rank"))
+    return st.stack_intervals(ops, ["tid"], push, "type", END, ("ts", "rank"))
 
 
 @query("state_stack_top", f"""WITH {_OPS}, l AS (SELECT tid, max_by(depth, (ts, rank)) AS depth FROM (SELECT * FROM dep WHERE ts <= {T0 + 10 * DAY}) GROUP BY tid)
@@ -390,8 +390,8 @@ def pair_latency_segments(spark, d):
     return segments(spark, d).select("tid", "start", "end", se.length().alias("duration"))
 
 
-def _rounded(df):
-    return df.withColumn("mean", F.round("mean", 1)).withColumn("deviation", F.round("deviation", 0))
+def _rounded(df, total="long"):
+    return df.withColumn("mean", F.round("mean", 1)).withColumn("deviation", F.round("deviation", 0)).withColumn("total", F.col("total").cast(total))
 
 
 _STATS = 'count(*) AS n, min("end" - start) AS minimum, max("end" - start) AS maximum, round(avg("end" - start), 1) AS mean, CASE WHEN count(*) > 2 THEN round(stddev_samp("end" - start), 0) END AS deviation, CAST(sum("end" - start) AS BIGINT) AS total'
@@ -433,9 +433,9 @@ def segment_stab(spark, d):
     return se.stab(segments(spark, d), T0 + 10 * DAY).select("tid", "start", "end")
 
 
-@query("segment_overlap_join", f"""WITH {SEG}, s AS (SELECT * FROM seg WHERE "end" - start < {3 * HOUR}) SELECT a.rank AS a, b.rank AS b, greatest(a.start, b.start) AS o_start, least(a."end", b."end") AS o_end FROM s a JOIN s b ON a.start <= b."end" AND a."end" >= b.start AND a.name = b.name AND a.rank < b.rank""")
+@query("segment_overlap_join", f"""WITH {SEG}, s AS (SELECT * FROM seg) SELECT a.rank AS a, b.rank AS b, greatest(a.start, b.start) AS o_start, least(a."end", b."end") AS o_end FROM s a JOIN s b ON a.start <= b."end" AND a."end" >= b.start AND a.name = b.name AND a.rank < b.rank""")
 def segment_overlap_join(spark, d):
-    s = segments(spark, d).where(se.length() < 3 * HOUR)
+    s = segments(spark, d)
     return ma.clipped(s, s, HOUR, ["name"]).where("rank < b_rank").select(F.col("rank").alias("a"), F.col("b_rank").alias("b"), "o_start", "o_end")
 
 
@@ -445,11 +445,11 @@ def segment_distinct(spark, d):
 
 
 @query("order_segments_stats", """WITH o AS (SELECT o_orderkey, o_orderpriority AS name, epoch_us(o_orderdate) AS start FROM orders), l AS (SELECT l_orderkey, max(epoch_us(l_shipdate)) AS "end" FROM lineitem GROUP BY l_orderkey),
-seg AS (SELECT name, start, "end" FROM o JOIN l ON l_orderkey = o_orderkey WHERE "end" >= start) SELECT name, """ + _STATS + " FROM seg GROUP BY ROLLUP (name)")
+seg AS (SELECT name, start, "end" FROM o JOIN l ON l_orderkey = o_orderkey WHERE "end" >= start) SELECT name, """ + _STATS.replace("AS BIGINT) AS total", "AS DECIMAL(30, 0)) AS total") + " FROM seg GROUP BY ROLLUP (name)")  # beyond a long at sf0.1
 def order_segments_stats(spark, d):
     o = table(spark, d, "orders").select("o_orderkey", F.col("o_orderpriority").alias("name"), micros("o_orderdate").alias("start"))
     ends = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.max(micros("l_shipdate")).alias("end"))
-    return _rounded(se.statistics(o.join(ends, "o_orderkey").where(F.col("end") >= F.col("start")), ["name"], se.length(), total=True))
+    return _rounded(se.statistics(o.join(ends, "o_orderkey").where(F.col("end") >= F.col("start")), ["name"], se.length(), total=True), "decimal(30,0)")
 
 
 # ---------------------------------------------------------------- joins and matching
@@ -781,7 +781,5 @@ def stream_windows(spark, d):
     schema = table(spark, d, "events").schema
     rows = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d)
     rows = rows.select(F.timestamp_micros(micros("ts")).alias("t"), "event_type", "value")
-    name = f"windows_{uuid.uuid4().hex}"
-    root = (spark.conf.get("spark.checkpoint.dir", None) or "/tmp").rstrip("/")
-    out = sq.drain(sq.counts(rows, "t", "1 hour", "1 day"), name, "complete", f"{root}/{name}")
+    out = sq.drain(sq.counts(rows, "t", "1 hour", "1 day"), "complete", f"{shared_dir(spark)}/windows-{uuid.uuid4().hex}")
     return out.select(F.unix_micros("window.start").alias("start"), F.col("event_type").alias("type"), "n")

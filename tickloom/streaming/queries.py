@@ -30,9 +30,13 @@ def matches(causes: DataFrame, effects: DataFrame, keys: Sequence[str], time: st
     return a.join(b, same)
 
 
-def pairs(events: DataFrame, key: str, begin: str, end: str) -> DataFrame:
-    """Begin/end segments of a key, the open begin being the state; a key idle for an hour forgets it."""
+def pairs(events: DataFrame, key: str, begin: str, end: str, late: str = "10 minutes", idle_ms: int = 3_600_000) -> DataFrame:
+    """Begin/end segments of a key, the open begin being the state; it is forgotten once the watermark is idle_ms past it.
+
+    The timeout is one of event time: one of processing time asks for another batch for ever, so that a run over what is
+    available would not end, and its results would hang on the clock."""
     kind = events.schema[key].dataType.simpleString()
+    events = events.withColumn("__at", F.timestamp_micros("micros")).withWatermark("__at", late)
 
     def step(k: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -52,14 +56,21 @@ def pairs(events: DataFrame, key: str, begin: str, end: str) -> DataFrame:
                 state.remove()
         else:
             state.update((int(opened),))
-            state.setTimeoutDuration(3_600_000)
+            state.setTimeoutTimestamp(int(opened) // 1000 + idle_ms)
         yield pd.DataFrame(out, columns=[key, "start", "end"])
 
-    return events.groupBy(key).applyInPandasWithState(step, f"`{key}` {kind}, start long, end long", "opened long", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return events.groupBy(key).applyInPandasWithState(step, f"`{key}` {kind}, start long, end long", "opened long", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def drain(stream: DataFrame, mode: str, root: str) -> DataFrame:
+    """Runs a stream over what is available, by batches written as Parquet under `root`, and returns the rows.
+
+    A batch that is written again after a failure replaces itself; a complete one replaces all before it."""
+    path = f"{root}/rows"
 
+    def put(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(path if mode == "complete" else f"{path}/batch={number}")
 
-def drain(stream: DataFrame, name: str, mode: str, checkpoint: str) -> DataFrame:
-    """Runs a stream over what is available and returns the memory table."""
-    query = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query = stream.writeStream.foreachBatch(put).outputMode(mode).option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start()
     query.awaitTermination()
-    return stream.sparkSession.table(name)
+    return stream.sparkSession.read.schema(stream.schema).parquet(path)
