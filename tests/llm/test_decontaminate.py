@@ -2,6 +2,8 @@ import hashlib
 import random
 import re
 
+from pyspark.sql import functions as F
+
 from tickloom.llm import decontaminate as d
 
 
@@ -55,3 +57,25 @@ def test_empty_tables(spark):
     y = spark.createDataFrame([], "item_id long, text string")
     assert tuple(d.contamination(x, y).first())[1:4] == (2, 0, 0)
     assert d.contamination(x.limit(0), y).count() == 0
+
+
+def test_rows_are_judged_by_their_own_text(spark):
+    """Null and repeated ids, with columns whose names the operator might use; one block and several."""
+    rows = [(None, "alpha beta", 1), (1, "other words", 2), (2, "alpha beta", 3), (2, "clean text here", 4), (3, None, 5), (3, "gamma", 6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, hit long").withColumn("words", F.lit("w")).withColumn("items", F.lit("i"))
+    bench = spark.createDataFrame([(1, "alpha beta"), (2, "gamma"), (3, "delta epsilon zeta")], "item_id long, text string")
+    for block in (d.BLOCK_BYTES, 8):
+        left = d.without_contaminated(docs, bench, block_bytes=block)
+        assert left.columns == docs.columns
+        assert sorted((r.hit for r in left.collect())) == [2, 4, 5]
+
+
+def test_long_items_are_cut_with_all_their_windows(spark):
+    rng = random.Random(2)
+    words = [f"w{rng.randrange(10000)}" for _ in range(500)]
+    items = [(1, " ".join(words)), (2, "short one")]
+    docs = [(i, " ".join(words[i * 20 : i * 20 + 13])) for i in range(24)] + [(50, " ".join(words[5:17])), (51, "a short one b"), (52, " ".join(words))]
+    x, y = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    cut = d.pieces(y, d.WINDOW, 200).collect()
+    assert len(cut) > 10 and max(len(r.text) for r in cut) <= 200
+    assert sorted((tuple(r) for r in d.contamination(x, y, block_bytes=800).collect()), key=str) == brute(docs, items)

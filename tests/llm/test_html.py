@@ -55,3 +55,15 @@ def test_only_hiding_attributes_hide():
 def test_text_of_math_stays():
     page = "<p>so <math display='block'><mrow><mi>x</mi><mspace/><mo>=</mo><mn>2</mn></mrow></math> holds<p>next"
     assert [b.text for b in h.blocks(page)] == ["so x=2 holds", "next"]
+
+
+def test_deep_nesting_takes_linear_time():
+    import time
+
+    for unit in ("<div>x", "<b><i>x</u>", "<ul><li>x</p>", "<p><table><tr><td>x"):
+        took = []
+        for n in (2000, 16000):
+            began = time.process_time()
+            assert len("".join(b.text for b in h.blocks(unit * n)).replace(" ", "")) == n
+            took.append(time.process_time() - began)
+        assert took[1] < 24 * max(took[0], 0.02), unit

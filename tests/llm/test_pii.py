@@ -68,3 +68,23 @@ def test_scores_follow_the_graph(spark):
     rows = pii.learn(found, keep, rounds=1, support=5, confidence=0.0).collect()
     seeds = {r.confidence for r in rows if r.kind == 3}
     assert seeds == {30 / 31}
+
+
+def test_masks_beside_clashing_names(spark):
+    docs = _docs(spark).selectExpr("doc_id", "text", "spans", "1 as key", "2 as __key", "3 as __spans", "4 as row", "5 as pattern", "6 as kind", "7 as found")
+    for n in (1000, 2):
+        got = pii.masked(docs, n)
+        assert got.columns == docs.columns
+        assert {tuple(r)[2:] for r in got.collect()} == {tuple(r)[2:] for r in docs.collect()}
+
+
+def test_contexts_see_whole_words():
+    word = "w" * 200
+    near = pii.contexts(f"a b {word} 5 x", len(word) + 5, len(word) + 6)
+    assert near == pii.contexts(f"a b {word}{' ' * 90}5 x", len(word) + 94, len(word) + 95) and len(near) == 1
+    assert len(pii.contexts("one two 5 six", 8, 9)) == 2 and pii.contexts("5", 0, 1) == []
+
+
+def test_long_identifiers_are_candidates():
+    text = "write to " + "n" * 100 + "@" + "h" * 300 + " now"
+    assert [(k, a, b) for k, a, b in pii.candidates(text, [])] == [(0, 9, 410)]

@@ -70,3 +70,18 @@ def test_tables(spark):
     docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
     back = own.decoded(own.encoded(docs)).collect()
     assert [r.text for r in back] == [r.decoded for r in back]
+
+
+def test_clashing_names_are_replaced(spark):
+    docs = spark.createDataFrame([(1, "a b", "x", "y"), (2, None, None, None)], "doc_id long, text string, IDS string, decoded string")
+    rows = own.encoded(docs)
+    assert rows.columns == ["doc_id", "text", "decoded", "ids"]
+    back = own.decoded(rows)
+    assert back.columns == ["doc_id", "text", "ids", "decoded"]
+    assert sorted((r.doc_id, r.decoded) for r in back.collect()) == [(1, "a b"), (2, None)]
+
+
+def test_normalising_models_are_refused():
+    spec = b"\x0a\x03nfk\x12\x02ab\x18\x01\x20\x00"
+    with pytest.raises(ValueError, match="normalise"):
+        own.Model(RAW + bytes([0x1A]) + _number(len(spec)) + spec)

@@ -50,3 +50,40 @@ def test_tables(spark, tmp_path):
     back = warc.read_records(spark, str(tmp_path / "a.warc.gz"))
     assert sorted(r.record_id for r in back.collect()) == sorted(r.record_id for r in made.collect())
     assert [h for h, _ in warc.parse_all(gzip.decompress(data))] == [h for h, _ in warc.parse_all(data)]
+
+
+def _response(http: bytes) -> bytes:
+    return warc.build([("WARC-Type", "response"), ("WARC-Record-ID", "<urn:uuid:1>")], http)
+
+
+def test_broken_payloads_are_converted_up_to_the_fault(spark):
+    whole = gzip.compress(b"plain text " * 5000)
+    head = b"HTTP/1.1 200 OK\r\nContent-Type: text/plain\r\n"
+    cases = [
+        (head + b"Transfer-Encoding: chunked\r\n\r\n3\r\nabc\r\nzz\r\nrest", "abc", "no chunk size"),
+        (head + b"Transfer-Encoding: chunked\r\n\r\n9\r\nabc", "abc", "cut off"),
+        (head + b"Content-Encoding: gzip\r\n\r\nnot gzip at all", "", "gzip"),
+        (head + b"Content-Encoding: gzip\r\n\r\n" + whole[:100], None, "cut off"),
+        (head + b"Content-Encoding: gzip\r\n\r\n" + whole, "plain text " * 5000, None),
+        (b"", "", None),
+    ]
+    records = spark.createDataFrame([(i, "response", bytearray(_response(x))) for i, (x, _, _) in enumerate(cases)] + [(9, "response", bytearray(b"no record"))], "page_id long, record_type string, record binary")
+    got = {(r.page_id, r.record_type): bytes(r.record) for r in warc.derivatives(records).collect()}
+    assert len(got) == 2 * len(cases)
+    for i, (_, text, fault) in enumerate(cases):
+        if text is not None:
+            assert warc.parse(got[i, "conversion"])[1].decode() == text
+        about = warc.parse(got[i, "metadata"])[1].decode()
+        assert ("http-payload-fault" in about) == bool(fault) and (not fault or fault in about)
+
+
+def test_what_is_no_record_is_passed(spark, tmp_path):
+    a, b = warc.response(1, "http://a/", b"<p>one"), warc.response(2, "http://b/", b"<p>two")
+    (tmp_path / "x.warc").write_bytes(a + b"junk WARC/ junk\r\n" + b + b"WARC/1.1\r\nContent-Length: 99\r\n\r\nshort")
+    broken = bytearray(gzip.compress(b, mtime=0))
+    broken[len(broken) // 2] ^= 255
+    (tmp_path / "y.warc.gz").write_bytes(gzip.compress(a, mtime=0) + bytes(broken) + gzip.compress(b, mtime=0))
+    rows = warc.read_records(spark, str(tmp_path / "x.warc")).collect()
+    assert [r.record_type for r in rows] == ["response", "malformed", "response", "malformed"] and rows[1].record == b"junk WARC/ junk\r\n"
+    ids = [r.record_id for r in warc.read_records(spark, str(tmp_path / "y.warc.gz")).collect() if r.record_type == "response"]
+    assert ids == [warc.field(warc.parse(x)[0], "WARC-Record-ID") for x in (a, b)]

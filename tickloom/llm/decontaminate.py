@@ -5,28 +5,27 @@ document only if all its words are, so one token suffices as its prefix: its rar
 counted over all documents. Documents join the windows on that word; the bounds of the text (positions
 before and after the word) and the gram hash discard, and the words themselves verify.
 
-The benchmark is joined in blocks of at most BLOCK_BYTES of text: the index that goes to the executors
-has a proven bound, whatever the benchmark's size, and all blocks together are the whole benchmark.
+The benchmark is joined in blocks of at most BLOCK_BYTES of text, long items in parts: the index that goes to the
+executors has a proven bound, whatever the benchmark's size, and all blocks together are the whole benchmark. Rows go
+through one block after another and carry what was found.
 
 Nulls: a null text has no words; a null doc_id is kept as null. Repeated rows each give a row; empty tables
 give no rows; further columns are ignored. Null item_ids are no items. Items that repeat an item_id count once."""
 
 from __future__ import annotations
 
-import hashlib
 from collections import defaultdict
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
-from ._common import ALPHANUMERIC, Words, map_arrow, plain, slices, table
+from ._common import ALPHANUMERIC, Stage, Words, map_arrow, slices, table
 
 WINDOW = 13
-BLOCK_BYTES = 8 << 20
-SCHEMA = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
+#: Of text; a block's windows take some fifty times as much in a worker.
+BLOCK_BYTES = 2 << 20
 
 
 class Index:
@@ -97,69 +96,103 @@ def _counts(docs: DataFrame, vocabulary: np.ndarray) -> dict[int, int]:
     return {int(vocabulary[r.word]): r.n for r in rows}
 
 
-def digest(items) -> str:
-    return hashlib.sha256(",".join(sorted(map(str, items))).encode()).hexdigest()
+def pieces(benchmark: DataFrame, window: int, most: int) -> DataFrame:
+    """(item_id, piece, text): items of more than `most` bytes in parts that share window - 1 words, so that each window is whole in one."""
 
-
-def blocks(benchmark: DataFrame, block_bytes: int = BLOCK_BYTES):
-    """The items in lists of bounded size."""
-    items = benchmark.select("item_id", "text").where("item_id is not null and text is not null")
-    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = int(total // block_bytes) + 1
-    for k in range(n):
-        part = items if n == 1 else items.where(F.pmod(F.xxhash64("item_id"), F.lit(n)) == k)
-        yield [(r.item_id, r.text) for r in part.collect()]
-
-
-def _judge(index, mode: str):
-    def judge(batches):
+    def cut(batches):
         for batch in batches:
-            for part in slices(batch):
-                w = Words(part.column(part.schema.get_field_index("text")), ALPHANUMERIC)
-                found, words = index.value.hits(w), np.diff(w.first).tolist()
-                hit = [found.get(k, ((), ())) for k in range(len(words))]
-                flag = pa.array([len(h) > 0 and 20 * len(h) >= n for (h, _), n in zip(hit, words, strict=True)], pa.bool_())
-                if mode == "keep":
-                    yield part.filter(pc.invert(flag))
+            rows: list[tuple] = []
+            for item, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if len(text.encode()) <= most:
+                    rows.append((item, 0, text))
                     continue
-                ids = part.column(part.schema.get_field_index("doc_id"))
-                if mode == "raw":
-                    keys = [hashlib.sha256(t.encode()).hexdigest() for t in plain(part.column(part.schema.get_field_index("text"))).to_pylist()]
-                    out = [pa.array(keys, pa.string()), pa.array(words, pa.int64()), pa.array([sorted(h) for h, _ in hit], pa.list_(pa.int64())), pa.array([sorted(i) for _, i in hit], pa.list_(pa.string()))]
-                    yield pa.RecordBatch.from_arrays([ids, *out], ["doc_id", "key", "n_words", "hit", "items"])
-                else:
-                    out = [pa.array(words, pa.int64()), pa.array([len(h) for h, _ in hit], pa.int64()), pa.array([len(i) for _, i in hit], pa.int64()), pa.array([digest(i) for _, i in hit], pa.string()), flag]
-                    yield pa.RecordBatch.from_arrays([ids, *out], ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"])
-
-    return judge
-
-
-def _index(docs: DataFrame, items: list[tuple], window: int):
-    index = Index(items, window)
-    return docs.sparkSession.sparkContext.broadcast(index.build(_counts(docs, index.vocabulary)))
+                w = Words(pa.array([text], pa.large_string()), ALPHANUMERIC)
+                i = 0
+                while i < len(w):
+                    j = max(int(np.searchsorted(w.end, w.start[i] + most, "right")), min(i + window, len(w)))
+                    rows.append((item, i, w.text(i, j).decode()))
+                    i = j - window + 1 if j < len(w) else j
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.string(), pa.int64(), pa.string()), strict=True)], ["item_id", "piece", "text"])
+
+    items = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("string").alias("item_id"), "text")
+    return map_arrow(items, cut, "item_id string, piece long, text string")
+
+
+def blocks(benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES):
+    """The items in lists of at most block_bytes of text (but for windows that are longer by themselves); one list at least."""
+    cut = pieces(benchmark, window, block_bytes // 4).withColumn("size", F.octet_length("text"))
+    n = int((cut.agg(F.sum("size")).first()[0] or 0) // (block_bytes // 2)) + 1
+    while n > 1:  # texts are dealt by hash, so a block can be fuller than others
+        fullest = cut.groupBy(F.pmod(F.xxhash64("item_id", "piece", "text"), F.lit(n))).agg(F.sum("size").alias("size"), F.count_distinct("text").alias("n")).orderBy(F.desc("size")).first()
+        if fullest.size <= block_bytes or fullest.n == 1:
+            break
+        n *= 2
+    for k in range(n):
+        part = cut if n == 1 else cut.where(F.pmod(F.xxhash64("item_id", "piece", "text"), F.lit(n)) == k)
+        yield [(r.item_id, r.text) for r in part.select("item_id", "text").distinct().collect()]
+
+
+def _names(taken: list[str], *wanted: str) -> list[str]:
+    """Column names that the table doesn't have."""
+    return [next(x for x in (w + "_" * k for k in range(len(taken) + 1)) if x.lower() not in {t.lower() for t in taken}) for w in wanted]
+
+
+def _hits(docs: DataFrame, benchmark: DataFrame, window: int, block_bytes: int) -> tuple[DataFrame, list[str]]:
+    """The rows with their number of words, hit words and items, and what these columns are called.
+
+    Each block adds to what the blocks before it found in a row, so rows need no key; between blocks the rows are written."""
+    keep, names = Stage(docs.sparkSession), _names(docs.columns, "words", "hit", "items")
+    words, hit, items = names
+    schema = StructType([*docs.schema, StructField(words, LongType()), StructField(hit, ArrayType(LongType())), StructField(items, ArrayType(StringType()))])
+    text_at, width = docs.columns.index("text"), len(docs.columns)
+
+    def judge(index, first):
+        def run(batches):
+            for batch in batches:
+                for part in slices(batch):
+                    w = Words(part.column(text_at), ALPHANUMERIC)
+                    found = index.value.hits(w)
+                    if first:
+                        hits, owners = [[] for _ in range(part.num_rows)], [[] for _ in range(part.num_rows)]
+                    else:
+                        hits, owners = part.column(width + 1).to_pylist(), part.column(width + 2).to_pylist()
+                    for k, (h, o) in found.items():
+                        hits[k], owners[k] = sorted(h.union(hits[k])), sorted(o.union(owners[k]))
+                    own = [pa.array(np.diff(w.first), pa.int64()), pa.array(hits, pa.list_(pa.int64())), pa.array(owners, pa.list_(pa.string()))]
+                    yield pa.RecordBatch.from_arrays([*part.columns[:width], *own], [*part.schema.names[:width], *names])
+
+        return run
+
+    rows, before = docs, None
+    for k, part in enumerate(blocks(benchmark, window, block_bytes)):
+        if k:
+            rows = keep.write(rows, f"block-{k}")
+            if before:
+                keep.drop(before)
+            before = f"block-{k}"
+        index = Index(part, window)
+        index = docs.sparkSession.sparkContext.broadcast(index.build(_counts(docs, index.vocabulary)))
+        rows = map_arrow(rows, judge(index, not k), schema)
+    return rows, names
+
+
+def _contaminated(words: str, hit: str):
+    n = F.size(hit).cast("long")
+    return (n > 0) & (20 * n >= F.col(words))
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """A row for each document: words, hit words, items, their digest, and the 5 % rule."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    parts = list(blocks(benchmark, block_bytes))
-    if len(parts) == 1:
-        return map_arrow(docs, _judge(_index(docs, parts[0], window), "rows"), SCHEMA)
-    scans = [map_arrow(docs, _judge(_index(docs, x, window), "raw"), "doc_id long, key string, n_words long, hit array<long>, items array<string>") for x in parts]
-    every = reduce(DataFrame.unionByName, scans)
-    merged = every.groupBy("doc_id", "key").agg((F.count("*") / len(parts)).cast("int").alias("copies"), F.max("n_words").alias("n_words"), F.array_distinct(F.flatten(F.collect_set("hit"))).alias("hit"), F.array_distinct(F.flatten(F.collect_set("items"))).alias("items"))
-    n = F.size("hit").cast("long")
-    merged = merged.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
-    return merged.select("doc_id", "n_words", n.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join(F.array_sort("items"), ","), 256).alias("items_sha256"), ((n > 0) & (20 * n >= F.col("n_words"))).alias("contaminated"))
+    rows, (words, hit, items) = _hits(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), benchmark, window, block_bytes)
+    n = F.size(hit).cast("long")
+    return rows.select("doc_id", F.col(words).alias("n_words"), n.alias("n_hit"), F.size(items).cast("long").alias("n_items"), F.sha2(F.array_join(F.array_sort(items), ","), 256).alias("items_sha256"), _contaminated(words, hit).alias("contaminated"))
 
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """The documents, all columns, that the 5 % rule leaves."""
-    parts = list(blocks(benchmark, block_bytes))
-    if len(parts) == 1:
-        return map_arrow(docs, _judge(_index(docs, parts[0], window), "keep"), docs.schema)
-    bad = contamination(docs, benchmark, window, block_bytes).where("contaminated").select("doc_id")
-    return docs.join(bad, "doc_id", "left_anti").select(docs.columns)
+    """The documents, all columns, that the 5 % rule leaves; each row is judged by its own text."""
+    rows, (words, hit, _) = _hits(docs, benchmark, window, block_bytes)
+    return rows.where(~_contaminated(words, hit)).select(docs.columns)
 
 
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

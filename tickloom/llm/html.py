@@ -1,6 +1,7 @@
 """HTML main text by a linear-chain conditional random field over DOM leaf blocks (operator 7).
 
-A tolerant scan turns a page into blocks: runs of text between block-level tags, with the open ancestors.
+A tolerant scan, linear in the page however deep its elements nest, turns it into blocks: runs of text between
+block-level tags, with the open ancestors.
 Each block has features of its ancestor tags and attribute words, of its text and of its place. The chain
 has two states (main, other); weights of features by state and of transitions are trained by gradient ascent
 on the exact conditional likelihood (forward-backward) of labelled pages, and Viterbi decodes.
@@ -20,6 +21,8 @@ from __future__ import annotations
 import html as references
 import random
 import re
+from bisect import bisect_left
+from collections import defaultdict
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -51,8 +54,12 @@ _NO_DISPLAY = re.compile(r"(?:^|[;\s])display\s*:\s*none", re.I)
 
 @dataclass
 class Block:
+    """A run of text: the block elements around it (all, the innermost, the two outermost), words of their attributes, linked code points."""
+
     text: str
-    tags: tuple[str, ...]
+    tags: frozenset[str]
+    last: str
+    outer: tuple[str, ...]
     names: frozenset[str]
     linked: int
 
@@ -80,37 +87,80 @@ def breaks(tag: str) -> bool:
     return tag not in INLINE and tag not in SKIPPED
 
 
+class _Open:
+    """The open elements. Each question about them takes a step, however deep they are."""
+
+    def __init__(self):
+        self.tags: list[str] = []
+        self.own: list[tuple[frozenset[str], bool]] = []
+        self.where: dict[str, list[int]] = defaultdict(list)
+        self.walls: list[int] = []  # places of block elements
+        self.names: dict[str, int] = {}
+        self.hidden = self.links = 0
+
+    def push(self, tag: str, names: frozenset[str], hidden: bool) -> None:
+        self.where[tag].append(len(self.tags))
+        if tag not in INLINE:
+            self.walls.append(len(self.tags))
+        self.tags.append(tag)
+        self.own.append((names, hidden))
+        self.hidden += hidden
+        self.links += tag == "a"
+        for x in names:
+            self.names[x] = self.names.get(x, 0) + 1
+
+    def last(self, *tags: str) -> int:
+        """Place of the innermost element of these, or -1."""
+        return max((self.where[t][-1] for t in tags if self.where.get(t)), default=-1)
+
+    def wall(self) -> int:
+        return self.walls[-1] if self.walls else -1
+
+    def pop(self, to: int) -> None:
+        """Closes all from a place on."""
+        while len(self.tags) > to:
+            tag, (names, hidden) = self.tags.pop(), self.own.pop()
+            self.where[tag].pop()
+            if not self.where[tag]:
+                del self.where[tag]
+            if tag not in INLINE:
+                self.walls.pop()
+            self.hidden -= hidden
+            self.links -= tag == "a"
+            for x in names:
+                self.names[x] -= 1
+                if not self.names[x]:
+                    del self.names[x]
+
+
 def blocks(page: str) -> list[Block]:
     """Leaf blocks of a page, in page order, whatever state its markup is in."""
     out: list[Block] = []
-    stack: list[tuple[str, frozenset[str], bool]] = []
+    stack = _Open()
     parts: list[str] = []
     linked = 0
-    links = 0
 
     def flush():
         nonlocal linked
         text = " ".join("".join(parts).split())
         if text:
-            names = frozenset().union(*(n for _, n, _ in stack)) if stack else frozenset()
-            out.append(Block(text, tuple(t for t, _, _ in stack if t not in INLINE), names, linked))
+            outer = tuple(stack.tags[i] for i in stack.walls[:2])
+            out.append(Block(text, frozenset(stack.where) - INLINE, stack.tags[stack.walls[-1]] if stack.walls else "", outer, frozenset(stack.names), linked))
         parts.clear()
         linked = 0
 
     def add(text: str):
         nonlocal linked
-        if text and not any(h for _, _, h in stack):
+        if text and not stack.hidden:
             text = references.unescape(text)
             parts.append(text)
-            if links:
+            if stack.links:
                 linked += len(text)
 
     def pop(to: int):
-        nonlocal links
-        if any(breaks(t) for t, _, _ in stack[to:]):
-            flush()
-        links -= sum(t == "a" for t, _, _ in stack[to:])
-        del stack[to:]
+        if any(breaks(stack.tags[i]) for i in stack.walls[bisect_left(stack.walls, to) :]):
+            flush()  # while its elements are open
+        stack.pop(to)
 
     at, n = 0, len(page)
     while at < n:
@@ -128,42 +178,25 @@ def blocks(page: str) -> list[Block]:
         if m[1]:
             if tag == "br":
                 parts.append(" ")
-            elif tag == "p" and not any(t == "p" for t, _, _ in stack):
+            elif tag == "p" and stack.last("p") < 0:
                 flush()
-            else:
-                for i in range(len(stack) - 1, -1, -1):
-                    if stack[i][0] == tag:
-                        pop(i)
-                        break
-                    if tag in INLINE and stack[i][0] not in INLINE:
-                        break
+            elif (i := stack.last(tag)) >= 0 and not (tag in INLINE and stack.wall() > i):
+                pop(i)
             continue
-        if tag in CLOSES_P:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == "p":
-                    pop(i)
-                    break
-                if stack[i][0] not in INLINE:
-                    break
+        if tag in CLOSES_P and stack.walls and stack.tags[stack.wall()] == "p":
+            pop(stack.wall())
         if tag in OWN_CLOSE:
             ends, scope = OWN_CLOSE[tag]
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] in ends.split():
-                    pop(i)
-                    break
-                if stack[i][0] in scope:
-                    break
+            if (i := stack.last(*ends.split())) > stack.last(*scope):
+                pop(i)
         if breaks(tag) and tag != "br":
             flush()
         if tag in EMPTY:
             if tag == "br":
                 parts.append(" ")
             continue
-        if tag == "body":  # an open head ends here
-            for i, (t, _, _) in enumerate(stack):
-                if t == "head":
-                    pop(i)
-                    break
+        if tag == "body" and (heads := stack.where.get("head")):  # an open head ends here
+            pop(heads[0])
         attributes = m[3] or ""
         if attributes.rstrip().endswith("/") and (tag in ("svg", "path", "use") or tag in MATH):
             continue
@@ -172,8 +205,7 @@ def blocks(page: str) -> list[Block]:
             end = re.compile(rf"</{tag}(?=[\s/>])[^>]*(?:>|\Z)", re.I).search(page, at)
             at = end.end() if end else n
             continue
-        stack.append((tag, _words(attributes) if attributes else frozenset(), hidden))
-        links += tag == "a"
+        stack.push(tag, _words(attributes) if attributes else frozenset(), hidden)
     flush()
     return out
 
@@ -185,14 +217,14 @@ def features(found: list[Block]) -> list[list[str]]:
         words = b.text.split()
         n = len(words)
         x = ["bias", f"size:{min(7, n.bit_length())}", f"links:{int(4 * min(1, b.linked / len(b.text)))}"]
-        x += [f"in:{t}" for t in set(b.tags)] + [f"tag:{b.tags[-1] if b.tags else ''}"] + [f"name:{w}" for w in b.names]
+        x += [f"in:{t}" for t in sorted(b.tags)] + [f"tag:{b.last}"] + [f"name:{w}" for w in sorted(b.names)]
         if b.text[-1] in ".!?:;\"»”…":
             x.append("stop")
         if "©" in b.text or re.search(r"(?i)\b(?:copyright|all rights reserved)\b", b.text):
             x.append("rights")
         if re.search(r"(?i)\b(?:cookies?|subscribe|sign in|log in|newsletter|advertisement|sponsored)\b", b.text):
             x.append("notice")
-        if not k or not found[k - 1].tags or found[k - 1].tags[:2] != b.tags[:2]:
+        if not k or not found[k - 1].outer or found[k - 1].outer != b.outer:
             x.append("turn")
         out.append(x)
     return out
@@ -367,8 +399,9 @@ def trained(count: int = PAGES) -> Chain:
     pages = []
     for page, states in labelled_pages(count):
         found = blocks(page)
-        if len(found) == len(states):
-            pages.append((features(found), states))
+        if len(found) != len(states):
+            raise AssertionError(f"a labelled page has {len(states)} labels for {len(found)} blocks")
+        pages.append((features(found), states))
     return fit(pages)
 
 

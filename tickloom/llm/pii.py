@@ -18,6 +18,7 @@ import re
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
 from ._common import Stage, map_arrow, plain, table
 
@@ -25,18 +26,19 @@ KINDS = ("email", "ip", "card", "phone")
 ROUNDS = 3
 SUPPORT = 5
 CONFIDENCE = 0.9
-#: Patterns that are sent to all executors at once; beyond, spans come by a join.
+#: Patterns that are sent to all executors at once; rows go through as many blocks of patterns as there are.
 MOST_SENT = 200_000
+#: A context word is known by so many of its code points, those next to the span.
+WORD = 64
 
 # The base patterns' character classes and limits.
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
-_LOCAL_END = re.compile(r"[A-Za-z0-9._%+-]*\Z")
 _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 
-_NEAR_ADDRESS = re.compile(r"(?<!\S)[^\s@]{1,64}@[^\s@]{1,255}(?!\S)")
+_NEAR_ADDRESS = re.compile(r"(?<!\S)[^\s@]++@[^\s@]++(?!\S)")
 _NEAR_NUMBER = re.compile(r"[0-9(](?:[0-9().-]|\x20(?=[0-9(])){5,}[0-9]")
 _DIGITS = re.compile(r"[0-9]")
 
@@ -107,15 +109,28 @@ def _word(word: str) -> str:
     return re.sub(r"[0-9]", "0", word.lower())
 
 
+def _left(text: str, at: int) -> tuple[str, int]:
+    """The last WORD code points of the word that ends before a place (of white space), and where the word begins; -1 if it is longer."""
+    while at and text[at - 1].isspace():
+        at -= 1
+    part = text[max(0, at - WORD) : at]
+    word = part.split()[-1] if part else ""
+    low = at - len(word)
+    return word, low if not low or text[low - 1].isspace() else -1
+
+
 def contexts(text: str, start: int, end: int) -> list[int]:
-    """The patterns around a span, as hashes."""
-    left = [_word(w) for w in text[max(0, start - 80) : start].split()[-2:]]
-    right = [_word(w) for w in text[end : end + 80].split()[:1]]
+    """The patterns around a span, as hashes: the two words before it, and the word before with the word after."""
+    last, low = _left(text, start)
+    before = _left(text, low)[0] if low > 0 else ""
+    while end < len(text) and text[end].isspace():
+        end += 1
+    after = text[end : end + WORD].split()[:1]
     found = []
-    if len(left) == 2:
-        found.append("l " + " ".join(left))
-    if left and right:
-        found.append("b " + left[-1] + " _ " + right[0])
+    if before:
+        found.append(f"l {_word(before)} {_word(last)}")
+    if last and after:
+        found.append(f"b {_word(last)} _ {_word(after[0])}")
     return [xxhash.xxh3_64_intdigest(x.encode("utf-8", "surrogatepass")) - (1 << 63) for x in found]
 
 
@@ -192,56 +207,55 @@ def mask(text: str, spans) -> str:
 
 
 def masked(docs: DataFrame, most_sent: int = MOST_SENT) -> DataFrame:
-    """The documents, all columns, with personal data masked and n_chars (if there) set anew."""
+    """The documents, all columns, with personal data masked and n_chars (if there) set anew.
+
+    Each block of patterns adds the spans that it discovers to a row's; the last one masks. Between blocks rows are written."""
     spark, keep = docs.sparkSession, Stage(docs.sparkSession)
     found = keep.write(scan(docs), "found")
     patterns = keep.write(learn(found, keep), "patterns")
+    keep.drop("found")
     names = docs.columns
-
-    def hide(batch: pa.RecordBatch, spans_of) -> pa.RecordBatch:
-        texts = batch.column(names.index("text")).to_pylist()
-        new = [t if t is None else mask(t, spans_of(i, t)) for i, t in enumerate(texts)]
-        columns = [batch.column(i) for i in range(len(names))]
-        columns[names.index("text")] = pa.array(new, pa.string())
-        if "n_chars" in names:
-            kind = columns[names.index("n_chars")].type
-            columns[names.index("n_chars")] = pa.array([None if t is None else len(t) for t in new], pa.int64()).cast(kind)
-        return pa.RecordBatch.from_arrays(columns, names)
-
-    if patterns.limit(most_sent + 1).count() <= most_sent:
-        strong = spark.sparkContext.broadcast({(r.pattern, r.kind) for r in patterns.collect()})
-
-        def sent(batches):
-            def spans_of(_, text):
-                base = base_spans(text)
-                return base + [x for x in candidates(text, base) if strong.value and any((p, x[0]) in strong.value for p in contexts(text, *x[1:]))]
-
+    text_at, n_at = names.index("text"), names.index("n_chars") if "n_chars" in names else None
+    spans_name = next(x for x in ("spans" + "_" * k for k in range(len(names) + 1)) if x.lower() not in {n.lower() for n in names})
+    blocks = int(patterns.count() // (max(2, most_sent) // 2)) + 1
+    carried = StructType([*docs.schema, StructField(spans_name, ArrayType(ArrayType(IntegerType())))])
+
+    def discover(strong, first: bool, last: bool):
+        def spans_of(text: str | None) -> list:
+            if text is None:
+                return []
+            base = base_spans(text)
+            return (base if first else []) + [x for x in candidates(text, base) if strong.value and any((p, x[0]) in strong.value for p in contexts(text, *x[1:]))]
+
+        def run(batches):
             for batch in batches:
-                yield hide(batch, spans_of)
-
-        return map_arrow(docs, sent, docs.schema)
-    # Spans are a function of the text, so they are found once for each text and joined by its digest.
-    key = F.sha2(F.coalesce("text", F.lit("")), 256)
-    texts = docs.select(F.lit(0).alias("doc_id"), "text", key.alias("__key"))
-    rows = texts.select(F.monotonically_increasing_id().alias("row"), "__key", "text").dropDuplicates(["__key"])
-    slots = keep.write(map_arrow(rows, find_by_key, "key string, spans " + _FOUND.split("spans ")[1]), "by-key").select("key", F.explode("spans").alias("s"))
-    seeds = slots.where("s.seed").select("key", "s.kind", "s.start", "s.stop")
-    added = slots.where("not s.seed").select("key", "s.kind", "s.start", "s.stop", F.explode("s.patterns").alias("pattern")).join(patterns, ["pattern", "kind"]).select("key", "kind", "start", "stop").distinct()
-    spans = seeds.unionByName(added).groupBy("key").agg(F.collect_list(F.struct("kind", "start", "stop")).alias("__spans"))
-    joined = docs.withColumn("__key", key).join(spans, F.col("__key") == F.col("key"), "left").select(*[docs[c] for c in names], "__spans")
-
-    def sent_along(batches):
-        for batch in batches:
-            spans = batch.column(len(names)).to_pylist()
-            yield hide(batch, lambda i, _, spans=spans: [(x["kind"], x["start"], x["stop"]) for x in spans[i] or ()])
-
-    return map_arrow(joined, sent_along, docs.schema)
-
-
-def find_by_key(batches):
-    for batch in batches:
-        spans = [_found(t.as_py()) for t in plain(batch.column(2))]
-        yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(spans, pa.list_(_SPAN))], ["key", "spans"])
+                texts = batch.column(text_at).to_pylist()
+                spans = [spans_of(t) for t in texts]
+                if not first:
+                    spans = [[*map(tuple, x), *y] for x, y in zip(batch.column(len(names)).to_pylist(), spans, strict=True)]
+                columns = batch.columns[: len(names)]
+                if last:
+                    new = [t if t is None else mask(t, x) for t, x in zip(texts, spans, strict=True)]
+                    columns[text_at] = pa.array(new, pa.string())
+                    if n_at is not None:
+                        columns[n_at] = pa.array([None if t is None else len(t) for t in new], pa.int64()).cast(columns[n_at].type)
+                    yield pa.RecordBatch.from_arrays(columns, names)
+                else:
+                    yield pa.RecordBatch.from_arrays([*columns, pa.array(spans, pa.list_(pa.list_(pa.int32())))], [*names, spans_name])
+
+        return run
+
+    rows = docs
+    for k in range(blocks):
+        if k:
+            rows = keep.write(rows, f"block-{k}")
+            if k > 1:
+                keep.drop(f"block-{k - 1}")
+        own = patterns.where(F.pmod("pattern", F.lit(blocks)) == k)
+        strong = spark.sparkContext.broadcast({(r.pattern, r.kind) for r in own.collect()})
+        last = k == blocks - 1
+        rows = map_arrow(rows, discover(strong, not k, last), docs.schema if last else carried)
+    return rows
 
 
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

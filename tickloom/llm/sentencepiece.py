@@ -16,6 +16,9 @@ Unknown characters become byte pieces (or the unknown id, if the model has none)
 that of the lowest score less 10. A word mark that stands in the text itself is encoded in bytes, and so is
 any text that spells a byte piece or a control piece: decode(encode(text)) == text for every text.
 
+Models whose file asks for any normalisation but the mark before a text (character maps, removal of white space, the
+mark as a suffix) are refused.
+
 Nulls: a null text has null ids; an empty text has none. Repeated rows each give a row; further columns stay
 in `encoded`. Empty tables give no rows."""
 
@@ -85,8 +88,15 @@ class Model:
             if number == 1:
                 own = dict(_fields(value))
                 self.pieces.append((own[1].decode(), own.get(2, 0.0), own.get(3, NORMAL)))
+            elif number == 2:
+                if dict(_fields(value)).get(24):
+                    raise ValueError("models with the word mark as a suffix are not supported")
             elif number == 3:
-                self.prefix = bool(dict(_fields(value)).get(3, 1))
+                rules = dict(_fields(value))
+                self.prefix = bool(rules.get(3, 1))
+                # Such rules change the text before encoding, and decoding could not give it back.
+                if rules.get(2) or rules.get(6) or rules.get(4, 1) or not rules.get(5, 1):
+                    raise ValueError(f"models that normalise texts ({rules.get(1, b'').decode()}, or by removing or keeping white space) are not supported")
         self.automaton = ahocorasick.Automaton()
         self.bytes: dict[int, int] = {}
         self.unknown = 0
@@ -201,8 +211,13 @@ def read_model(path: str = MODEL) -> bytes:
         return f.read()
 
 
+def _without(rows: DataFrame, name: str) -> DataFrame:
+    return rows.select([c for c in rows.columns if c.lower() != name])
+
+
 def encoded(docs: DataFrame, path: str = MODEL, column: str = "text") -> DataFrame:
-    """The rows, all columns, with ids array<int>. The file is read by the driver (vocabularies are of bounded size)."""
+    """The rows, all columns, with ids array<int>, in place of a column of that name. The file is read by the driver (vocabularies are of bounded size)."""
+    docs = _without(docs, "ids")
     raw = docs.sparkSession.sparkContext.broadcast(read_model(path))
     at = docs.columns.index(column)
 
@@ -219,7 +234,8 @@ def encoded(docs: DataFrame, path: str = MODEL, column: str = "text") -> DataFra
 
 
 def decoded(rows: DataFrame, path: str = MODEL, column: str = "ids") -> DataFrame:
-    """The rows with the text of their ids, as column decoded."""
+    """The rows with the text of their ids, as column decoded, in place of a column of that name."""
+    rows = _without(rows, "decoded")
     raw = rows.sparkSession.sparkContext.broadcast(read_model(path))
     at = rows.columns.index(column)
 

@@ -10,8 +10,9 @@ records of a table of pages, `derivatives` builds the derivatives and `members`
 
 Nulls: a null page is an empty payload; a null url leaves WARC-Target-URI out; a null page_id counts as the
 text "null" in the id. Equal rows give equal records. Empty tables give no rows; further columns are ignored.
-Other kinds of records than responses give no derivatives. Malformed records end the reading of their file
-with an error that names the offset."""
+Other kinds of records than responses give no derivatives. What is no record in a file is a row of type malformed, up to
+the next record; it has no derivatives. A response whose chunks or gzip payload break off is converted up to the
+fault, which its metadata record names (http-payload-fault)."""
 
 from __future__ import annotations
 
@@ -73,19 +74,45 @@ def field(headers: list[tuple[str, str]], name: str) -> str | None:
     return next((v for k, v in headers if k.lower() == name.lower()), None)
 
 
-def parse_all(data: bytes) -> Iterator[tuple[list[tuple[str, str]], bytes]]:
-    """The records of a file, of one or many gzip members or plain."""
-    if data[:2] == b"\x1f\x8b":
-        parts = []
-        while data:
-            one = zlib.decompressobj(31)
-            parts.append(one.decompress(data) + one.flush())
-            data = one.unused_data.lstrip(b"\0\r\n")
-        data = b"".join(parts)
-    at = 0
-    while at < len(data):
-        headers, block, at = parse(data, at)
-        yield headers, block
+def _unpacked(data: bytes) -> Iterator[bytes]:
+    """The contents of gzip members, one after the other; a broken member gives what precedes the fault."""
+    view, at = memoryview(data), 0
+    while (at := data.find(b"\x1f\x8b\x08", at)) >= 0:
+        one, parts, start = zlib.decompressobj(31), [], at
+        try:
+            while not one.eof and at < len(view):
+                step = view[at : at + (1 << 16)]
+                parts.append(one.decompress(step))
+                at += len(step) - len(one.unused_data)
+        except zlib.error:
+            at = start + 3  # the next member, if any, is found by its first bytes
+        yield b"".join(parts)
+
+
+def parse_all(data: bytes) -> Iterator[tuple[list[tuple[str, str]] | None, bytes]]:
+    """The records of a file, of one or many gzip members or plain. What is no record, up to the next one's version line, has no headers (None)."""
+    held = bytearray()
+    parts = _unpacked(data) if data[:2] == b"\x1f\x8b" else iter([data])
+    more = True
+    while more or held:
+        part = next(parts, None)
+        more = part is not None
+        held += part or b""
+        whole, at = bytes(held), 0
+        while at < len(whole):
+            try:
+                headers, block, at = parse(whole, at)
+            except ValueError:
+                if more:  # the rest of the record may follow
+                    break
+                after = whole.find(b"\nWARC/", at)
+                end = after + 1 if after >= 0 else len(whole)
+                if whole[at:end].strip(b"\0\r\n"):
+                    yield None, whole[at:end]
+                at = end
+                continue
+            yield headers, block
+        del held[:at]
 
 
 def response(page_id, url: str | None, payload: bytes, date: str = DATE) -> bytes:
@@ -97,19 +124,39 @@ def response(page_id, url: str | None, payload: bytes, date: str = DATE) -> byte
     return build(headers, block)
 
 
-def _body(block: bytes) -> tuple[list[tuple[str, str]], bytes]:
-    """Headers and payload of an HTTP response, chunks joined and gzip undone."""
+def _body(block: bytes) -> tuple[list[tuple[str, str]], bytes, str]:
+    """Headers and payload of an HTTP response, chunks joined and gzip undone; where that fails, what precedes the fault, and what failed."""
     head, _, body = block.partition(b"\r\n\r\n")
     headers = [(k.strip().decode("latin-1"), v.strip().decode("latin-1")) for k, _, v in (x.partition(b":") for x in head.split(b"\r\n")[1:])]
+    fault = ""
     if (field(headers, "Transfer-Encoding") or "").lower() == "chunked":
         out, at = [], 0
-        while (end := body.find(b"\r\n", at)) >= 0 and (size := int(body[at:end].split(b";")[0] or b"0", 16)):
+        while True:
+            end = body.find(b"\r\n", at)
+            digits = body[at:end].split(b";")[0].strip() if end >= 0 else b""
+            if not re.fullmatch(rb"[0-9A-Fa-f]{1,15}", digits):
+                fault = f"no chunk size at {at}"
+                break
+            if not (size := int(digits, 16)):
+                break
             out.append(body[end + 2 : end + 2 + size])
+            if len(out[-1]) < size:
+                fault = f"a chunk is cut off at {len(body)}"
+                break
             at = end + 2 + size + 2
         body = b"".join(out)
-    if (field(headers, "Content-Encoding") or "").lower() == "gzip":
-        body = gzip.decompress(body)
-    return headers, body
+    if (field(headers, "Content-Encoding") or "").lower() in ("gzip", "x-gzip"):
+        one, parts, at = zlib.decompressobj(31), [], 0
+        try:
+            while not one.eof and at < len(body):
+                step = body[at : at + (1 << 16)]
+                parts.append(one.decompress(step))
+                at += len(step)
+            fault = fault or ("" if one.eof else "the gzip stream is cut off")
+        except zlib.error as e:
+            fault = fault or f"gzip: {e}"
+        body = b"".join(parts)
+    return headers, body, fault
 
 
 def plain_text(headers: list[tuple[str, str]], body: bytes) -> str:
@@ -124,12 +171,15 @@ def plain_text(headers: list[tuple[str, str]], body: bytes) -> str:
 
 
 def derive(record: bytes) -> list[tuple[str, bytes]]:
-    """(kind, record) of the metadata and the conversion record of a response; none for other kinds."""
-    headers, block, _ = parse(record)
+    """(kind, record) of the metadata and the conversion record of a response; none for other kinds and for what is no record."""
+    try:
+        headers, block, _ = parse(record)
+    except ValueError:
+        return []
     if field(headers, "WARC-Type") != "response":
         return []
     source = field(headers, "WARC-Record-ID") or ""
-    http, body = _body(block)
+    http, body, fault = _body(block)
     text = plain_text(http, body).encode()
     linked = [("WARC-Refers-To", source)]
     linked += [(k, v) for k in ("WARC-Target-URI", "WARC-Date") if (v := field(headers, k)) is not None]
@@ -140,6 +190,7 @@ def derive(record: bytes) -> list[tuple[str, bytes]]:
     converted = record_id("conversion", source)
     facts = [f"source-{k}: {v}" for k, v in headers] + [f"http-{k}: {v}" for k, v in http]
     facts += [f"conversion-record-id: {converted}", f"conversion-digest: {sha1(text)}", f"conversion-chars: {len(text.decode())}"]
+    facts += [f"http-payload-fault: {fault}"] if fault else []
     about = "".join(f"{x}\r\n" for x in facts).encode()
     out = []
     for kind, name, content_type, data in (("metadata", record_id("metadata", source), "application/warc-fields", about), ("conversion", converted, "text/plain; charset=utf-8", text)):
@@ -171,14 +222,23 @@ def responses_of_pages(pages: DataFrame) -> DataFrame:
 
 
 def read_records(spark: SparkSession, path: str) -> DataFrame:
-    """All records of the files under a path; page_id is null."""
+    """All records of the files under a path (each below 2 GB); page_id is null. What is no record is a row of type malformed."""
 
     def split(batches):
         for batch in batches:
             for data in batch.column(0):
-                rows = [_row(None, field(h, "WARC-Type"), build([(k, v) for k, v in h if k.lower() != "content-length"], b)) for h, b in parse_all(data.as_py())]
-                for k in range(0, len(rows), 256):
-                    yield _batch(rows[k : k + 256])
+                rows, size = [], 0
+                for h, b in parse_all(data.as_py()):
+                    if h is None:
+                        rows.append((None, "malformed", None, None, None, None, sha1(b), b))
+                    else:
+                        rows.append(_row(None, field(h, "WARC-Type"), build([(k, v) for k, v in h if k.lower() != "content-length"], b)))
+                    size += len(b)
+                    if len(rows) == 256 or size > 8 << 20:
+                        yield _batch(rows)
+                        rows, size = [], 0
+                if rows:
+                    yield _batch(rows)
 
     return map_arrow(spark.read.format("binaryFile").load(path).select("content"), split, RECORD)
 
