@@ -3,17 +3,17 @@
 A byte goes if a LENGTH-byte string that covers it also starts earlier (lesser doc_id, or the same document
 and an earlier start).
 
-1. Anchors: of the GRAM-byte grams of a text, those with the least hash among each LENGTH - GRAM + 1
-   neighbours. Each LENGTH-byte string holds such an anchor, and equal strings hold equal ones. Anchors that
-   occur once in the whole corpus drop out, and with them all text that repeats nowhere.
-2. Around each other anchor stands the segment of all strings that hold it. Segments meet by their anchor's
-   hash. Under a frequent anchor they meet by the bytes that follow and by those that precede it instead (a
-   string goes at least half of LENGTH - GRAM bytes to one side), so a frequent line does not gather all
-   texts that hold it.
+1. Anchors: each LENGTH-byte string has the least hash of its GRAM-byte grams for its anchor, so equal strings have equal
+   anchors. Neighbouring strings of one anchor are a stretch; stretches whose anchor no other stretch has drop out, and with them
+   all text that repeats nowhere.
+2. The bytes of each other stretch are a segment; each start is in one. Segments meet by their anchor. Under a frequent anchor they
+   meet by the bytes that follow it, or else by those that precede it (a string goes at least half of LENGTH - GRAM bytes to
+   one side), so a frequent line does not gather all texts that hold it.
 3. Equal segments of one anchor: all but the first go as a whole. They are found as rows pass in order, and
    under frequent anchors first within 16 salts each, so no task meets a whole group of copies.
    (Of a key whose distinct segments exceed LARGE_BYTES every string is hashed and grouped by itself instead.)
-4. The distinct segments form shards with a Burrows-Wheeler transform each. Shards are merged by refining
+4. Of the distinct segments of an anchor, only what agrees with another on both sides of the anchor goes on, where that is LENGTH
+   bytes long; equal ones fold again. The rest form shards with a Burrows-Wheeler transform each. Shards are merged by refining
    their interleave: after h rounds it is sorted by the first h bytes, each round moving every suffix to its
    predecessor's bucket by the transforms alone; blocks of equal h-prefixes come with it. After LENGTH
    rounds the blocks are the repeated intervals. No suffix is sorted again.
@@ -32,21 +32,21 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ._common import Stage, map_arrow, mix, plain, prefix_hash, slices, spans_hash, table, text_bytes, winnow
+from ._common import Stage, map_arrow, mix, plain, prefix_hash, slices, sliding, spans_hash, table, text_bytes
 
 LENGTH, GRAM = 100, 32
 #: An anchor with more occurrences is frequent.
 FREQUENT = 256
-#: Bytes of segments in one merge, and in each of its shards.
-MERGE_BYTES, SHARD_BYTES = 1 << 18, 1 << 16
+#: Bytes of segments in one merge (keys whose segments are larger make larger ones), and in each of its shards: small enough for a core's cache.
+MERGE_BYTES, SHARD_BYTES = 1 << 15, 1 << 13
 #: Distinct segments of one key that a task holds; of larger keys every string is hashed and grouped instead.
 LARGE_BYTES = 2 << 20
 SALTS = 16
 _SEGMENT = "key long, doc_id long, start long, segment binary, inside int, frequent boolean"
 
 
-def anchors(docs: DataFrame) -> DataFrame:
-    """(anchor, doc_id, at)."""
+def stretches(docs: DataFrame) -> DataFrame:
+    """(anchor, doc_id, low, high): the strings that start in [low, high] have the anchor."""
 
     def find(batches):
         for batch in batches:
@@ -56,49 +56,53 @@ def anchors(docs: DataFrame) -> DataFrame:
                     continue
                 start = np.arange(len(raw) - GRAM + 1)
                 hashes = spans_hash(prefix_hash(raw), start, start + GRAM)
-                out = []
-                for doc, a, b in zip(part.column(0).to_pylist(), ends.tolist(), ends[1:].tolist()):
-                    if b - a >= LENGTH:
-                        own = hashes[a : b - GRAM + 1]
-                        at = winnow(own, LENGTH - GRAM + 1)
-                        out.append((own[at].view(np.int64), np.full(len(at), doc, np.int64), at))
-                if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], ["anchor", "doc_id", "at"])
+                least = sliding(hashes, LENGTH - GRAM + 1, np.minimum)
+                docs_, at = part.column(0).to_numpy(), ends[:-1]
+                sizes = np.maximum(np.diff(ends) - LENGTH + 1, 0)
+                owner = np.repeat(np.arange(len(sizes)), sizes)
+                place = np.arange(len(owner)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+                own = least[at[owner] + place]
+                new = np.flatnonzero(np.r_[True, (own[1:] != own[:-1]) | (owner[1:] != owner[:-1])][: len(own)])
+                last = np.r_[new[1:], len(own)] - 1
+                if len(new):
+                    columns = own[new].view(np.int64), docs_[owner[new]], place[new].astype(np.int32), place[last].astype(np.int32)
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["anchor", "doc_id", "low", "high"])
 
-    return map_arrow(docs.select("doc_id", "text"), find, "anchor long, doc_id long, at long")
+    return map_arrow(docs.select("doc_id", "text"), find, "anchor long, doc_id long, low int, high int")
 
 
 def segments(docs: DataFrame, places: DataFrame, frequent: int = FREQUENT) -> DataFrame:
-    """The bytes around each repeated anchor, by what brings equal strings together."""
-    reach = LENGTH - GRAM
-    half = reach // 2
+    """The bytes of each stretch, by what brings equal strings together; inside is the anchor's place, -1 where it has several."""
+    half = (LENGTH - GRAM) // 2
 
     def cut(batches):
         for batch in batches:
             for part in slices(batch):
                 raw, ends = text_bytes(part.column(1))
                 sums = prefix_hash(raw)
-                keys, owners, starts, found, inside, often = [], [], [], [], [], []
-                for doc, a, b, own in zip(part.column(0).to_pylist(), ends.tolist(), ends[1:].tolist(), part.column(2)):
-                    places = own.values
-                    at, anchor, n = (places.field(k).to_numpy() for k in range(3))
-                    low, high = np.maximum(0, at - reach), np.minimum(b - a, at + LENGTH)
-                    rare = n <= frequent
-                    parts = [(np.flatnonzero(rare), anchor)]
-                    for side, (x, y) in enumerate(((at, at + GRAM + half), (at - half, at + GRAM))):
-                        some = np.flatnonzero(~rare & (x >= 0) & (y <= b - a))
-                        key = np.zeros(len(at), np.uint64)
-                        key[some] = mix(spans_hash(sums, a + x[some], a + y[some]) + np.uint64(side + 1))
-                        parts.append((some, key.view(np.int64)))
-                    for which, key in parts:
-                        keys.append(key[which])
-                        owners.append(np.full(len(which), doc, np.int64))
-                        starts.append(low[which])
-                        inside.append((at - low)[which].astype(np.int32))
-                        often.append(~rare[which])
-                        found += [raw[a + i : a + j].tobytes() for i, j in zip(low[which].tolist(), high[which].tolist())]
-                if found:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(owners)), pa.array(np.concatenate(starts)), pa.array(found, pa.binary()), pa.array(np.concatenate(inside)), pa.array(np.concatenate(often))], ["key", "doc_id", "start", "segment", "inside", "frequent"])
+                start = np.arange(max(0, len(raw) - GRAM + 1))
+                hashes = spans_hash(sums, start, start + GRAM)
+                rows: list[tuple] = []
+                for doc, a, own in zip(part.column(0).to_pylist(), ends.tolist(), part.column(2), strict=False):
+                    lows, highs, anchors, counts = (own.values.field(k).to_numpy() for k in range(4))
+                    for low, high, anchor, n in zip(lows.tolist(), highs.tolist(), anchors.tolist(), counts.tolist()):
+                        at = -1
+                        if high - low <= LENGTH - GRAM:  # the anchor stands in all of the stretch's strings
+                            found = np.flatnonzero(hashes[a + high : a + low + LENGTH - GRAM + 1].view(np.int64) == anchor)
+                            at = high + int(found[0]) if len(found) == 1 else -1
+                        if n <= frequent or at < 0:
+                            rows.append((anchor, doc, low, raw[a + low : a + high + LENGTH].tobytes(), at - low if at >= 0 else -1, n > frequent))
+                            continue
+                        # Strings that go `half` bytes beyond the anchor to the right, and the others, which go as far to the left.
+                        for side, x, y, first, last in ((1, at, at + GRAM + half, max(low, at - half), high), (2, at - half, at + GRAM, low, min(high, at - half - 1))):
+                            if first <= last:
+                                key = int(mix(spans_hash(sums, np.array([a + x]), np.array([a + y])) + np.uint64(side)).view(np.int64)[0])
+                                rows.append((key, doc, first, raw[a + first : a + last + LENGTH].tobytes(), at - first, True))
+                    if len(rows) > 4000:
+                        yield _batches(rows, _SEGMENT)
+                        rows = []
+                if rows:
+                    yield _batches(rows, _SEGMENT)
 
     return map_arrow(docs.select("doc_id", "text").join(places, "doc_id").select("doc_id", "text", "places"), cut, _SEGMENT)
 
@@ -158,13 +162,11 @@ def repeated(shards: list[Shard], depth: int) -> tuple[np.ndarray, np.ndarray]:
         order = np.argsort(before, kind="stable")
         place = step[place[order]]
         place[:m] = ends  # the end marks differ from each other and keep their order
-        before, block = before[order], block[order]
-        fresh[0] = True
+        block = block[order]
         np.not_equal(block[1:], block[:-1], out=fresh[1:])
-        fresh[1:] |= before[1:] != before[:-1]
+        heads = np.cumsum(np.bincount(before, minlength=1))  # where the next byte's suffixes begin
+        fresh[heads[heads < n]] = True
         fresh[:m] = True
-        if m < n:
-            fresh[m] = True
         block = np.cumsum(fresh, dtype=np.int32)
         if block[-1] == n:
             break
@@ -207,7 +209,7 @@ def later_starts(found: list[tuple[int, int, bytes]], length: int = LENGTH) -> l
 
 
 def _batches(rows: list[tuple], schema: str) -> pa.RecordBatch:
-    kinds = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "string": pa.string()}
+    kinds = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "string": pa.string(), "boolean": pa.bool_()}
     fields = [x.split() for x in schema.split(", ")]
     return pa.RecordBatch.from_arrays([pa.array(x, kinds[k]) for x, (_, k) in zip(zip(*rows, strict=True), fields, strict=True)], [n for n, _ in fields])
 
@@ -252,17 +254,46 @@ def _runs(found: list[tuple[int, int]]) -> list[tuple]:
     return [(None, d, None, None, None, a, b) for d, a, b in out]
 
 
-def promising(own: list[tuple[int, int, bytes, int]]) -> list[tuple[int, int, bytes]]:
-    """Segments of one anchor that may share a string with another: it goes half the reach to the anchor's one side at least."""
-    half = (LENGTH - GRAM) // 2
-    seen: dict[tuple, int] = {}
-    sides = []
-    for _, _, s, i in own:
-        both = [(k, s[a:b]) for k, (a, b) in enumerate(((i, i + GRAM + half), (i - half, i + GRAM))) if a >= 0 and b <= len(s)]
-        sides.append(both)
-        for x in both:
-            seen[x] = seen.get(x, 0) + 1
-    return [x[:3] for x, both in zip(own, sides, strict=True) if any(seen[y] > 1 for y in both)]
+def _alike(x: bytes, y: bytes) -> int:
+    """Length of the common prefix."""
+    low, high = 0, min(len(x), len(y))
+    while low < high:
+        mid = (low + high + 1) // 2
+        if x[low:mid] == y[low:mid]:
+            low = mid
+        else:
+            high = mid - 1
+    return low
+
+
+def _extents(sides: list[bytes]) -> list[int]:
+    """Of each text the longest prefix that it shares with another: in order, that is one with a neighbour."""
+    order = sorted(range(len(sides)), key=sides.__getitem__)
+    out = [0] * len(sides)
+    for a, b in zip(order, order[1:]):
+        n = _alike(sides[a], sides[b])
+        out[a], out[b] = max(out[a], n), max(out[b], n)
+    return out
+
+
+def trimmed(own: list[tuple[int, int, bytes, int]]) -> tuple[list[tuple[int, int, bytes]], list[tuple]]:
+    """What of the distinct segments of one anchor may be in a string of two of them, and rows for those that are then equal to one before.
+
+    Equal strings hold the anchor at one place, so they reach no further to either side of it than the segment agrees with any other."""
+    if len(own) < 2 and all(i >= 0 for *_, i in own):
+        return [], []
+    if any(i < 0 for *_, i in own):
+        return [x[:3] for x in own], []
+    after = _extents([s[i:] for _, _, s, i in own])
+    before = _extents([s[:i][::-1] for _, _, s, i in own])
+    cut = sorted((s[i - b : i + a], doc, start + i - b) for (doc, start, s, i), a, b in zip(own, after, before, strict=True) if a + b >= LENGTH)
+    kept, gone = [], []
+    for k, (s, doc, start) in enumerate(cut):
+        if k and cut[k - 1][0] == s:
+            gone.append(_copy(doc, start, s))
+        else:
+            kept.append((doc, start, s))
+    return (kept, gone) if len(kept) > 1 else ([], gone)
 
 
 def merge(batches, merge_bytes: int = MERGE_BYTES, large_bytes: int = LARGE_BYTES):
@@ -277,8 +308,9 @@ def merge(batches, merge_bytes: int = MERGE_BYTES, large_bytes: int = LARGE_BYTE
     large = False
     for key, doc, start, segment, inside in _rows(batches):
         if key != key_now:
-            some = promising(own)
+            some, gone = trimmed(own)
             gathered += some
+            out += gone
             size += sum(len(s) for _, _, s in some)
             own, held, key_now, last, large = [], 0, key, None, False
         if segment == last:
@@ -298,7 +330,8 @@ def merge(batches, merge_bytes: int = MERGE_BYTES, large_bytes: int = LARGE_BYTE
         if len(out) >= 2000:
             yield _batches(out, _FOUND)
             out = []
-    out += _runs(later_starts(gathered + promising(own)))
+    some, gone = trimmed(own)
+    out += gone + _runs(later_starts(gathered + some))
     if out:
         yield _batches(out, _FOUND)
 
@@ -314,11 +347,13 @@ def every_start(batches):
 
 def removed_starts(docs: DataFrame, keep: Stage, frequent: int = FREQUENT, merge_bytes: int = MERGE_BYTES, large_bytes: int = LARGE_BYTES) -> DataFrame:
     """(doc_id, low, high): every start in [low, high] begins a string that also starts earlier."""
-    found = anchors(docs)
-    counts = found.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1")
-    places = found.join(counts, "anchor").groupBy("doc_id").agg(F.collect_list(F.struct("at", "anchor", "n")).alias("places"))  # as many as the document's anchors
+    found = stretches(docs)
+    # A stretch longer than the window holds its anchor twice, so it may repeat strings of its own.
+    counts = found.groupBy("anchor").agg(F.count("*").alias("n"), F.max(F.col("high") - F.col("low")).alias("wide")).where((F.col("n") > 1) | (F.col("wide") > LENGTH - GRAM)).select("anchor", "n")
+    places = found.join(counts, "anchor").groupBy("doc_id").agg(F.collect_list(F.struct("low", "high", "anchor", "n")).alias("places"))  # as many as the document's stretches
     places = keep.write(places, "places")
-    cut = segments(docs, places, frequent)
+    cut = keep.write(segments(docs, places, frequent), "segments")
+    keep.drop("places")
     rows, order = ["key", "doc_id", "start", "segment", "inside"], ["key", "segment", "doc_id", "start"]
     salted = cut.where("frequent").repartition("key", F.pmod(F.xxhash64("segment", "doc_id"), F.lit(SALTS))).sortWithinPartitions(*order)
     first = keep.write(map_arrow(salted.select(*rows), copies, _FOUND), "frequent")
