@@ -247,3 +247,9 @@ def test_critical_path_ends_where_workers_wake_each_other_at_one_time(spark):
     edges = [(1, 0, 1, 10, "BLOCKED"), (2, 0, 2, 10, "BLOCKED"), (2, 10, 1, 10, "DEFAULT"), (1, 10, 2, 10, "DEFAULT"), (1, 10, 1, 10, "DEFAULT")]
     rows = gr.critical_path(spark.createDataFrame(edges, _EDGE), 1).collect()
     assert any((r.src_ts, r.dst_ts) == (0, 10) for r in rows)
+
+
+def test_totals_beyond_a_long(spark):
+    rows = spark.range(4).selectExpr("cast(id % 2 as string) as name", "cast(0 as long) as start", "9000000000000000000 as end")
+    got = {r.name: r for r in se.statistics(rows, ["name"], se.length(), total=True).collect()}
+    assert int(got[None].total) == 4 * 9 * 10**18 and int(got["0"].total) == 2 * 9 * 10**18 and got["1"].maximum == 9 * 10**18

@@ -783,3 +783,6 @@ def stream_windows(spark, d):
     rows = rows.select(F.timestamp_micros(micros("ts")).alias("t"), "event_type", "value")
     out = sq.drain(sq.counts(rows, "t", "1 hour", "1 day"), "complete", f"{shared_dir(spark)}/windows-{uuid.uuid4().hex}")
     return out.select(F.unix_micros("window.start").alias("start"), F.col("event_type").alias("type"), "n")
+
+
+from . import view_queries as _view_queries  # noqa: E402, F401  (adds its queries to those above)
