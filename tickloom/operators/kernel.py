@@ -60,7 +60,8 @@ def state_changes(events: DataFrame, layout: dict[str, str] = LAYOUT) -> DataFra
         .when(t == "cpu_frequency", F.array(change(["CPUs", cpu, "Frequency"], F.col("frequency"))))
         .otherwise(nothing)
     )
-    return events.withColumn("__c", F.explode(made)).select("__c.path", "ts", F.col("rank").alias("seq"), "__c.value")
+    # An event's changes have an order, too: a switch of a thread to itself leaves the incoming status.
+    return events.select("ts", "rank", F.posexplode(made).alias("__k", "__c")).select("__c.path", "ts", (F.col("rank") * 16 + F.col("__k")).alias("seq"), "__c.value")
 
 
 def runs(switches: DataFrame, start: int, end: int) -> DataFrame:

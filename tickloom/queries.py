@@ -556,9 +556,33 @@ def _kernel(spark, d):
     return e.select("ts", "rank", "cpu", kind.alias("type"), "tid", prev.alias("prev_tid"), F.col("tid").alias("next_tid"), (F.col("k") % 4).alias("prev_state"), F.concat(F.lit("t"), F.col("tid").cast("string")).alias("next_comm"), F.col("k").alias("next_prio"), F.col("cents").alias("frequency"), F.lit(None).cast("long").alias("irq"), F.lit(None).cast("long").alias("child_tid"), F.lit(None).cast("long").alias("parent_tid"), F.col("k").alias("ret"))
 
 
-@query("kernel_state_intervals")
+def _change(path: str, k: int, value: str, where: str) -> str:
+    return f"SELECT {path} AS path, ts, rank * 16 + {k} AS q, {value} AS v FROM p WHERE {where}"
+
+
+_THREAD = "'Threads/' || CASE WHEN {0} = 0 THEN '0_' || CAST(cpu AS VARCHAR) ELSE CAST({0} AS VARCHAR) END || '/{1}'"
+_KERNEL_CHANGES = " UNION ALL ".join([
+    _change(_THREAD.format("prev", "Status"), 0, "CASE WHEN k % 4 = 0 THEN 'WAIT_CPU' ELSE 'WAIT_BLOCKED' END", "type = 'view'"),
+    _change(_THREAD.format("tid", "Status"), 1, "'RUN_USERMODE'", "type = 'view'"),
+    _change(_THREAD.format("tid", "Exec_name"), 2, "'t' || CAST(tid AS VARCHAR)", "type = 'view'"),
+    _change(_THREAD.format("tid", "Prio"), 3, "CAST(k AS VARCHAR)", "type = 'view'"),
+    _change(_THREAD.format("tid", "Current_cpu_rq"), 4, "CAST(cpu AS VARCHAR)", "type = 'view'"),
+    _change("'CPUs/' || CAST(cpu AS VARCHAR) || '/Current_thread'", 5, "CAST(tid AS VARCHAR)", "type = 'view'"),
+    _change("'CPUs/' || CAST(cpu AS VARCHAR) || '/Status'", 6, "CASE WHEN tid = 0 THEN 'IDLE' ELSE 'RUN_USERMODE' END", "type = 'view'"),
+    _change(_THREAD.format("tid", "Status"), 0, "CASE type WHEN 'click' THEN 'RUN_SYSTEMCALL' WHEN 'purchase' THEN 'RUN_USERMODE' ELSE 'WAIT_CPU' END", "type IN ('click', 'purchase', 'error')"),
+    _change(_THREAD.format("tid", "System_call"), 1, "CASE type WHEN 'click' THEN 'open' END", "type IN ('click', 'purchase')"),
+    _change("'CPUs/' || CAST(cpu AS VARCHAR) || '/Status'", 2, "CASE type WHEN 'click' THEN 'RUN_SYSTEMCALL' ELSE 'RUN_USERMODE' END", "type IN ('click', 'purchase')"),
+    _change("'CPUs/' || CAST(cpu AS VARCHAR) || '/Frequency'", 0, "CAST(cents AS VARCHAR)", "type = 'signup'"),
+])
+
+
+@query("kernel_state_intervals", f"""WITH {EV}, p AS (SELECT *, coalesce(lag(tid) OVER (PARTITION BY cpu ORDER BY ts, rank), 0) AS prev FROM ev), c AS ({_KERNEL_CHANGES}),
+lw AS (SELECT path, ts, v FROM c QUALIFY row_number() OVER (PARTITION BY path, ts ORDER BY q DESC) = 1), st AS (SELECT * FROM lw UNION ALL SELECT path, {T0}, NULL FROM lw GROUP BY path HAVING min(ts) > {T0}),
+ch AS (SELECT *, lag(v) OVER (PARTITION BY path ORDER BY ts) AS pv, row_number() OVER (PARTITION BY path ORDER BY ts) AS n FROM st)
+SELECT path, ts AS start, coalesce(lead(ts) OVER (PARTITION BY path ORDER BY ts) - 1, {END}) AS "end", v AS value FROM ch WHERE n = 1 OR v IS DISTINCT FROM pv""")
 def kernel_state_intervals(spark, d):
-    return st.intervals(ke.state_changes(_kernel(spark, d)), ["path"], END, start=T0)
+    changes = ke.state_changes(_kernel(spark, d)).withColumn("path", F.array_join("path", "/"))
+    return st.intervals(changes, ["path"], END, start=T0)
 
 
 @query("kernel_thread_status_at", f"""WITH {EV}, p AS (SELECT *, coalesce(lag(tid) OVER (PARTITION BY cpu ORDER BY ts, rank), 0) AS prev FROM ev),
@@ -642,19 +666,64 @@ def call_depth_histogram(spark, d):
     return _calls(spark, d).groupBy("depth").agg(F.count("*").alias("n"))
 
 
-@query("call_graph_self_time")
+# Calls as rows: of each push the pop that ends it, the latest push of each lesser depth as its ancestors, and what its children took.
+_CALLS = f"""{EV}, ops AS (SELECT tid, ts, rank, type || CAST(k % 3 AS VARCHAR) AS name, CASE WHEN type IN ('view', 'click') THEN 1 ELSE -1 END AS s FROM ev WHERE type IN ('view', 'click', 'purchase', 'error')),
+cum AS (SELECT *, sum(s) OVER (PARTITION BY tid ORDER BY ts, rank) AS c FROM ops), dep AS (SELECT *, c - least(0, min(c) OVER (PARTITION BY tid ORDER BY ts, rank)) AS depth FROM cum),
+bef AS (SELECT *, lag(depth, 1, 0) OVER (PARTITION BY tid ORDER BY ts, rank) AS before FROM dep), p AS (SELECT * FROM bef WHERE s = 1),
+anc AS (SELECT p.rank AS id, a.depth, arg_max(a.name, (a.ts, a.rank)) AS name, arg_max(a.rank, (a.ts, a.rank)) AS up FROM p JOIN p a ON a.tid = p.tid AND a.depth <= p.depth AND (a.ts, a.rank) <= (p.ts, p.rank) GROUP BY p.rank, a.depth),
+paths AS (SELECT id, list(name ORDER BY depth) AS path FROM anc GROUP BY id),
+whole AS (SELECT p.rank AS id, p.tid, CAST(p.depth AS INTEGER) AS depth, p.name, path, up AS parent, p.ts AS start, coalesce((SELECT min(q.ts) FROM bef q WHERE q.tid = p.tid AND q.s = -1 AND q.before > q.depth AND q.depth = p.depth - 1 AND (q.ts, q.rank) > (p.ts, p.rank)), {END}) AS "end"
+FROM p JOIN paths ON paths.id = p.rank LEFT JOIN anc ON anc.id = p.rank AND anc.depth = p.depth - 1)"""
+
+
+def _with_self(source: str) -> str:
+    return f"""inn AS (SELECT parent, CAST(sum("end" - start) AS BIGINT) AS t FROM {source} WHERE parent IS NOT NULL GROUP BY parent), calls AS (SELECT {source}.*, "end" - start - coalesce(t, 0) AS self_time FROM {source} LEFT JOIN inn ON inn.parent = id)"""
+
+
+_GRAPH = """graph AS (SELECT path, count(*) AS n, CAST(sum("end" - start) AS BIGINT) AS duration, CAST(sum(self_time) AS BIGINT) AS self_time, min("end" - start) AS minimum, max("end" - start) AS maximum, avg("end" - start) AS mean, CASE WHEN count(*) > 2 THEN stddev_samp("end" - start) END AS deviation FROM calls GROUP BY path)"""
+
+
+@query("call_table", f"""WITH {_CALLS}, {_with_self("whole")} SELECT id, tid, parent, depth, name, array_to_string(path, '/') AS path, start, "end", self_time FROM calls""")
+def call_table(spark, d):
+    return _calls(spark, d).withColumn("path", F.array_join("path", "/"))
+
+
+@query("call_statistics", f"""WITH {_CALLS} SELECT name, {_STATS} FROM whole GROUP BY name""")
+def call_statistics(spark, d):
+    return _rounded(cs.function_statistics(_calls(spark, d)))
+
+
+@query("calls_at_depth", f"""WITH {_CALLS} SELECT id, tid, start, "end" FROM whole WHERE depth = 2 AND start <= {T0 + 8 * DAY} AND "end" >= {T0 + 6 * DAY}""")
+def calls_at_depth(spark, d):
+    return cs.at_depth(_calls(spark, d), 2, T0 + 6 * DAY, T0 + 8 * DAY).select("id", "tid", "start", "end")
+
+
+@query("next_call_in_parent", f"""WITH {_CALLS} SELECT id, tid, lead(id) OVER (PARTITION BY tid, parent ORDER BY start, id) AS next FROM whole""")
+def next_call_in_parent(spark, d):
+    return cs.next_in_parent(_calls(spark, d), ["tid"]).select("id", "tid", "next")
+
+
+@query("call_max_depth", f"""WITH {_CALLS} SELECT tid, max(depth) AS depth FROM whole GROUP BY tid""")
+def call_max_depth(spark, d):
+    return cs.max_depth(_calls(spark, d), ["tid"])
+
+
+@query("call_graph_self_time", f"""WITH {_CALLS}, {_with_self("whole")}, {_GRAPH} SELECT array_to_string(path, '/') AS path, n, duration, self_time, minimum, maximum, round(mean, 1) AS mean, round(deviation, 0) AS deviation FROM graph""")
 def call_graph_self_time(spark, d):
     g = cs.call_graph(cs.self_times(_calls(spark, d), ["tid"]))
     return g.select(F.array_join("path", "/").alias("path"), "n", "duration", "self_time", "minimum", "maximum", F.round("mean", 1).alias("mean"), F.round("deviation", 0).alias("deviation"))
 
 
-@query("call_graph_in_range")
+@query("call_graph_in_range", f"""WITH {_CALLS}, cut AS (SELECT * REPLACE (greatest(start, {T0 + 5 * DAY}) AS start, least("end", {T0 + 8 * DAY}) AS "end") FROM whole WHERE start <= {T0 + 8 * DAY} AND "end" >= {T0 + 5 * DAY}), {_with_self("cut")}, {_GRAPH}
+SELECT array_to_string(path, '/') AS path, n, duration, self_time FROM graph""")
 def call_graph_in_range(spark, d):
     g = cs.call_graph_in_range(_calls(spark, d), ["tid"], T0 + 5 * DAY, T0 + 8 * DAY)
     return g.select(F.array_join("path", "/").alias("path"), "n", "duration", "self_time")
 
 
-@query("flame_graph")
+@query("flame_graph", f"""WITH {_CALLS}, {_with_self("whole")}, {_GRAPH}, box AS (SELECT path, list_slice(path, 1, len(path) - 1) AS up, duration AS width FROM graph),
+off AS (SELECT path, width, coalesce(sum(width) OVER (PARTITION BY up ORDER BY width DESC, path[-1] ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS o FROM box)
+SELECT array_to_string(a.path, '/') AS path, CAST(len(a.path) AS INTEGER) AS depth, CAST(sum(b.o) AS BIGINT) AS x, a.width FROM off a JOIN off b ON list_slice(a.path, 1, len(b.path)) = b.path GROUP BY a.path, a.width""")
 def flame_graph(spark, d):
     return cs.flame(cs.call_graph(_calls(spark, d))).select(F.array_join("path", "/").alias("path"), "depth", "x", "width")
 
