@@ -253,3 +253,19 @@ def test_totals_beyond_a_long(spark):
     rows = spark.range(4).selectExpr("cast(id % 2 as string) as name", "cast(0 as long) as start", "9000000000000000000 as end")
     got = {r.name: r for r in se.statistics(rows, ["name"], se.length(), total=True).collect()}
     assert int(got[None].total) == 4 * 9 * 10**18 and int(got["0"].total) == 2 * 9 * 10**18 and got["1"].maximum == 9 * 10**18
+
+
+def test_slabs_follow_the_counts(spark, monkeypatch):
+    """Ranks, sums and rows before, with most rows in a small part of the time."""
+    from pyspark.sql import Window
+
+    from tickloom.plans import global_lag, global_rank, slabs
+
+    monkeypatch.setattr(slabs, "SLAB_ROWS", 40)
+    rows = spark.range(1000).selectExpr("id as rank", "case when id < 900 then 500 + id % 7 else id * 1000 end as ts", "id * 3 % 11 as v")
+    w = Window.orderBy("ts", "rank")
+    assert slabs._slabbed(rows, "ts", None).select("__slab").distinct().count() > 3
+    want = {r.rank: (r.n - 1, r.p) for r in rows.select("rank", F.row_number().over(w).alias("n"), F.lag("v").over(w).alias("p")).collect()}
+    ranked = {r.rank: r["index"] for r in global_rank(rows, "ts", ["ts", "rank"], None).collect()}
+    lagged = {r.rank: r.prev_v for r in global_lag(rows, "ts", ["ts", "rank"], None, ["v"]).collect()}
+    assert {k: (ranked[k], lagged[k]) for k in ranked} == want and len(lagged) == 1000

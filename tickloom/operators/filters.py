@@ -264,7 +264,7 @@ def filter_events(df: DataFrame, text: str, content: str | None = None, aspects:
 # ---------------------------------------------------------------- order-dependent filters, conditions
 
 
-def collapse(df: DataFrame, same: list[str], at: str = "ts", order: tuple[str, ...] = ("ts", "rank"), width: int = 86_400_000_000, by: list[str] | None = None) -> DataFrame:
+def collapse(df: DataFrame, same: list[str], at: str = "ts", order: tuple[str, ...] = ("ts", "rank"), width: int | None = None, by: list[str] | None = None) -> DataFrame:
     """Drops each event that equals the event before it in `same`."""
     if by:
         from pyspark.sql import Window

@@ -8,6 +8,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..plans import global_lag
 from .segments import pair
 
 # Thread and CPU status names, and bits of a previous state.
@@ -68,10 +69,10 @@ def runs(switches: DataFrame, start: int, end: int) -> DataFrame:
     """(cpu, tid, start, end) of what ran where, from switches (ts, rank, cpu, prev_tid, next_tid).
 
     The first switch of a CPU closes a run that began with the trace; the last opens one that ends with it."""
-    w = Window.partitionBy("cpu").orderBy("ts", "rank")
-    rows = switches.withColumn("__from", F.coalesce(F.lag("ts").over(w), F.lit(start))).withColumn("__last", F.lead("ts").over(w).isNull())
-    closed = rows.select("cpu", F.col("prev_tid").alias("tid"), F.col("__from").alias("start"), F.col("ts").alias("end"))
-    return closed.unionByName(rows.where("__last").select("cpu", F.col("next_tid").alias("tid"), F.col("ts").alias("start"), F.lit(end).cast("long").alias("end")))
+    rows = global_lag(switches, "ts", ["ts", "rank"], None, ["ts"], "__", ["cpu"])
+    closed = rows.select("cpu", F.col("prev_tid").alias("tid"), F.coalesce("__ts", F.lit(start)).alias("start"), F.col("ts").alias("end"))
+    last = switches.groupBy("cpu").agg(F.max(F.struct("ts", "rank", "next_tid")).alias("s"))
+    return closed.unionByName(last.select("cpu", F.col("s.next_tid").alias("tid"), F.col("s.ts").alias("start"), F.lit(end).cast("long").alias("end")))
 
 
 def cpu_usage(found: DataFrame, low: int, high: int) -> DataFrame:

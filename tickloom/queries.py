@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .functions import scalars as sc
 from .operators import aggregates as ag, callstack as cs, clocks as ck, declarative as de, filters as fi, graphs as gr, kernel as ke, matching as ma, segments as se, states as st
@@ -73,8 +73,8 @@ def cents_intervals(spark, d) -> DataFrame:
 
 
 def switches(spark, d) -> DataFrame:
-    e = events(spark, d)
-    return e.select("ts", "rank", "cpu", F.col("tid").alias("next_tid"), F.coalesce(F.lag("tid").over(Window.partitionBy("cpu").orderBy("ts", "rank")), F.lit(0)).alias("prev_tid"))
+    e = global_lag(events(spark, d).select("ts", "rank", "cpu", "tid"), "ts", ["ts", "rank"], None, ["tid"], keys=["cpu"])
+    return e.select("ts", "rank", "cpu", F.col("tid").alias("next_tid"), F.coalesce("prev_tid", F.lit(0)).alias("prev_tid"))
 
 
 def run_intervals(spark, d) -> DataFrame:
@@ -139,7 +139,7 @@ def filter_matches_any_aspect(spark, d):
 
 @query("filter_collapse", f"WITH {EV}, p AS (SELECT *, lag(type) OVER (ORDER BY ts, rank) AS q FROM ev) SELECT rank, type FROM p WHERE q IS NULL OR q <> type")
 def filter_collapse(spark, d):
-    return fi.collapse(events(spark, d), ["type"], width=DAY).select("rank", "type")
+    return fi.collapse(events(spark, d), ["type"]).select("rank", "type")
 
 
 @query("filter_requirements", f"WITH {EV} SELECT level, CASE level WHEN 'MANDATORY' THEN c = 3 WHEN 'OPTIONAL' THEN true WHEN 'AT_LEAST_ONE' THEN c > 0 ELSE c IN (0, 3) END AS ok FROM (SELECT count(DISTINCT type) FILTER (type IN ('view', 'click', 'none')) AS c FROM ev), (VALUES ('MANDATORY'), ('OPTIONAL'), ('AT_LEAST_ONE'), ('ALL_OR_NOTHING')) v(level)")
@@ -161,7 +161,7 @@ def search_previous_matching(spark, d):
 
 @query("event_table_page", f"WITH {EV}, r AS (SELECT rank, ts, type, row_number() OVER (ORDER BY ts, rank) - 1 AS index FROM ev WHERE type <> 'view') SELECT * FROM r WHERE index BETWEEN 200 AND 249")
 def event_table_page(spark, d):
-    rows = global_rank(events(spark, d).where("type <> 'view'"), "ts", ["ts", "rank"], DAY)
+    rows = global_rank(events(spark, d).where("type <> 'view'"), "ts", ["ts", "rank"], None)
     return rows.where(F.col("index").between(200, 249)).select("rank", "ts", "type", "index")
 
 
@@ -180,7 +180,7 @@ SELECT *, row_number() OVER (ORDER BY ts, trace_index, rank) - 1 AS index FROM m
 def experiment_merge(spark, d):
     e = events(spark, d).select("ts", "rank", "type", "cpu")
     merged = rd.experiment(e.where("cpu < 2").drop("cpu"), ck.corrected(e.where("cpu >= 2").withColumn("host", F.lit("b")), {"b": ck.Linear(beta=ck.Fraction(5))}).drop("cpu", "host"))
-    return global_rank(merged, "ts", ["ts", "trace_index", "rank"], DAY)
+    return global_rank(merged, "ts", ["ts", "trace_index", "rank"], None)
 
 
 @query("aspects", f"WITH {EV} SELECT rank, coalesce(CAST(CASE WHEN type = 'click' THEN k END AS VARCHAR), type) AS multi, json_extract_string(props, '$.k') AS field, ts * 1000 AS ts_ns, CASE type WHEN 'view' THEN 'looks' WHEN 'purchase' THEN 'buys' ELSE 'other' END AS label FROM ev")
@@ -552,7 +552,8 @@ def _kernel(spark, d):
     e = events(spark, d)
     t = F.col("type")
     kind = F.when(t == "view", "sched_switch").when(t == "click", "syscall_entry_open").when(t == "purchase", "syscall_exit_open").when(t == "error", "sched_wakeup").otherwise("cpu_frequency")
-    prev = F.coalesce(F.lag("tid").over(Window.partitionBy("cpu").orderBy("ts", "rank")), F.lit(0))
+    e = global_lag(e, "ts", ["ts", "rank"], None, ["tid"], keys=["cpu"])
+    prev = F.coalesce("prev_tid", F.lit(0))
     return e.select("ts", "rank", "cpu", kind.alias("type"), "tid", prev.alias("prev_tid"), F.col("tid").alias("next_tid"), (F.col("k") % 4).alias("prev_state"), F.concat(F.lit("t"), F.col("tid").cast("string")).alias("next_comm"), F.col("k").alias("next_prio"), F.col("cents").alias("frequency"), F.lit(None).cast("long").alias("irq"), F.lit(None).cast("long").alias("child_tid"), F.lit(None).cast("long").alias("parent_tid"), F.col("k").alias("ret"))
 
 
@@ -823,7 +824,7 @@ def pattern_scenarios(spark, d):
 
 @query("running_and_previous", f"""WITH {EV}, x AS (SELECT rank, ts, cents, lag(cents) OVER (ORDER BY ts, rank) AS prev_cents FROM ev) SELECT rank, prev_cents, cents - prev_cents AS step FROM x""")
 def running_and_previous(spark, d):
-    rows = global_lag(events(spark, d).select("rank", "ts", "cents"), "ts", ["ts", "rank"], DAY, ["cents"])
+    rows = global_lag(events(spark, d).select("rank", "ts", "cents"), "ts", ["ts", "rank"], None, ["cents"])
     return rows.select("rank", "prev_cents", (F.col("cents") - F.col("prev_cents")).alias("step"))
 
 
