@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import gc
 import time
 import uuid
@@ -10,6 +11,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import shared_dir, ship
@@ -50,8 +52,10 @@ class Stage:
 
 
 def release(spark: SparkSession) -> None:
-    """Lets Spark's cleaner drop the shuffle files of plans that have ended."""
+    """Lets Spark's cleaner drop the shuffle files of plans that have ended; listeners hold a plan until they have heard of its end."""
     gc.collect()
+    with contextlib.suppress(Py4JError):  # a busy listener only delays the cleaning
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(5_000)
     spark.sparkContext._jvm.System.gc()
 
 
