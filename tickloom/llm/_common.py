@@ -53,10 +53,12 @@ class Stage:
 
 def release(spark: SparkSession) -> None:
     """Lets Spark's cleaner drop the shuffle files of plans that have ended; listeners hold a plan until they have heard of its end."""
-    gc.collect()
-    with contextlib.suppress(Py4JError):  # a busy listener only delays the cleaning
-        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(5_000)
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):  # what the first round frees holds more
+        gc.collect()
+        with contextlib.suppress(Py4JError):  # a busy listener only delays the cleaning
+            spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(5_000)
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.3)
 
 
 def small_batches(spark: SparkSession) -> None:

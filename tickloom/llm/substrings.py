@@ -359,6 +359,7 @@ def removed_starts(docs: DataFrame, keep: Stage, frequent: int = FREQUENT, merge
     first = keep.write(map_arrow(salted.select(*rows), copies, _FOUND), "frequent")
     rest = cut.where("not frequent").select(*rows).unionByName(first.where("low is null").select(*rows))
     merged = keep.write(map_arrow(rest.repartition("key").sortWithinPartitions(*order).select(*rows), partial(merge, merge_bytes=merge_bytes, large_bytes=large_bytes), _FOUND), "merged")
+    keep.drop("segments")
     large = map_arrow(merged.where("low is null").select("doc_id", "start", "segment"), every_start, "digest binary, doc_id long, at long")
     least = large.groupBy("digest").agg(F.min(F.struct("doc_id", "at")).alias("first"), F.max(F.struct("doc_id", "at")).alias("last")).where("first <> last").select("digest", "first")
     late = large.join(least, "digest").where((F.col("doc_id") != F.col("first.doc_id")) | (F.col("at") != F.col("first.at"))).select("doc_id", F.col("at").alias("low"), F.col("at").alias("high"))
@@ -387,6 +388,8 @@ def deduplicated(docs: DataFrame, **limits) -> DataFrame:
     known = docs.where("doc_id is not null")
     runs = removed_starts(known, keep, **limits)
     grouped = keep.write(runs.groupBy("doc_id").agg(F.collect_set(F.struct("low", "high")).alias("runs")), "runs")  # as many as the document's starts
+    keep.drop("frequent")
+    keep.drop("merged")
 
     def cut(batches):
         for batch in batches:
