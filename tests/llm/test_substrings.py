@@ -67,3 +67,32 @@ def test_edges(spark):
     got = sorted((r.doc_id or 0, r.n_bytes, r.n_removed) for r in s.deduplicated(docs).collect())
     assert got[0] == (0, 240, 0) and got[1] == got[2]
     assert s.deduplicated(docs.limit(0)).count() == 0
+
+
+def _results(spark, rows, **limits):
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    return sorted((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, hashlib.sha256(r.kept).hexdigest()) for r in s.deduplicated(docs, **limits).collect())
+
+
+def test_short_repetitive_texts(spark):
+    rows = [(1, "x" * 101), (2, "word " * 24), (3, "ab" * 60 + "c"), (4, "-" * 168)]
+    assert _results(spark, rows) == sorted((k, *v) for k, v in brute(rows).items())
+
+
+def test_frequent_anchors_that_stand_twice_in_some_texts(spark):
+    rng = random.Random(5)
+    text = lambda n: "".join(rng.choice("abcdefghij ") for _ in range(n))
+    before, between, line = text(70), text(28), text(34)
+    rows = [(i, text(90) + line + text(90)) for i in range(10)]
+    rows += [(20, before + line + between + text(100)), (21, before + line + between + line + text(100)), (22, between + line + between + line + before)]
+    rows += [(23, before + line + between + line + before), (24, text(30) + between + line + between + line + before), (25, text(9) + "x" * 150), (26, "x" * 150 + line)]
+    for frequent in (1, 2, 5):
+        assert _results(spark, rows, frequent=frequent) == sorted((k, *v) for k, v in brute(rows).items())
+
+
+@pytest.mark.parametrize("limits", [{}, {"frequent": 1}, {"frequent": 1, "large_bytes": 100}])
+def test_rows_of_one_document_are_judged_by_their_own_texts(spark, limits):
+    rng = random.Random(7)
+    a, b = ("".join(rng.choice("abcdefghij ") for _ in range(250)) for _ in range(2))
+    got = _results(spark, [(1, a), (1, a), (1, b[:120]), (2, b), (2, a[50:])], **limits)
+    assert [x[:3] for x in got] == [(1, 120, 0), (1, 250, 0), (1, 250, 0), (2, 200, 200), (2, 250, 120)]

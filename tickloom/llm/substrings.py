@@ -4,11 +4,12 @@ A byte goes if a LENGTH-byte string that covers it also starts earlier (lesser d
 and an earlier start).
 
 1. Anchors: each LENGTH-byte string has the least hash of its GRAM-byte grams for its anchor, so equal strings have equal
-   anchors. Neighbouring strings of one anchor are a stretch; stretches whose anchor no other stretch has drop out, and with them
-   all text that repeats nowhere.
+   anchors. Neighbouring strings of one anchor are a stretch; stretches whose anchor no other stretch has, and which hold
+   it once, drop out, and with them all text that repeats nowhere.
 2. The bytes of each other stretch are a segment; each start is in one. Segments meet by their anchor. Under a frequent anchor they
    meet by the bytes that follow it, or else by those that precede it (a string goes at least half of LENGTH - GRAM bytes to
-   one side), so a frequent line does not gather all texts that hold it.
+   one side), so a frequent line does not gather all texts that hold it. Strings that hold a frequent anchor more than once meet by
+   the least hash of their longer grams.
 3. Equal segments of one anchor: all but the first go as a whole. They are found as rows pass in order, and
    under frequent anchors first within 16 salts each, so no task meets a whole group of copies.
    (Of a key whose distinct segments exceed LARGE_BYTES every string is hashed and grouped by itself instead.)
@@ -20,7 +21,8 @@ and an earlier start).
 5. In each interval, every occurrence but the earliest starts a removed string.
 
 Nulls: a null text is empty. A row with a null doc_id is returned whole and takes no part. Rows that repeat a
-doc_id are that document: what is found for the id is removed from each of them. Empty tables give no rows;
+doc_id are judged each by its own text: a string goes if it starts in a row of lesser doc_id, or in one of the same at an earlier
+start. Empty tables give no rows;
 further columns are ignored."""
 
 from __future__ import annotations
@@ -42,22 +44,22 @@ MERGE_BYTES, SHARD_BYTES = 1 << 15, 1 << 13
 #: Distinct segments of one key that a task holds; of larger keys every string is hashed and grouped instead.
 LARGE_BYTES = 2 << 20
 SALTS = 16
-_SEGMENT = "key long, doc_id long, start long, segment binary, inside int, frequent boolean"
+_SEGMENT = "key long, doc_id long, start long, row long, segment binary, inside int, frequent boolean"
 
 
 def stretches(docs: DataFrame) -> DataFrame:
-    """(anchor, doc_id, low, high): the strings that start in [low, high] have the anchor."""
+    """(anchor, doc_id, row, low, high, twice): the strings that start in [low, high] have the anchor; twice: one starts with it and another follows."""
 
     def find(batches):
         for batch in batches:
             for part in slices(batch):
-                raw, ends = text_bytes(part.column(1))
+                raw, ends = text_bytes(part.column(2))
                 if len(raw) < LENGTH:
                     continue
                 start = np.arange(len(raw) - GRAM + 1)
                 hashes = spans_hash(prefix_hash(raw), start, start + GRAM)
                 least = sliding(hashes, LENGTH - GRAM + 1, np.minimum)
-                docs_, at = part.column(0).to_numpy(), ends[:-1]
+                docs_, rows, at = part.column(0).to_numpy(), part.column(1).to_numpy(), ends[:-1]
                 sizes = np.maximum(np.diff(ends) - LENGTH + 1, 0)
                 owner = np.repeat(np.arange(len(sizes)), sizes)
                 place = np.arange(len(owner)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
@@ -65,46 +67,67 @@ def stretches(docs: DataFrame) -> DataFrame:
                 new = np.flatnonzero(np.r_[True, (own[1:] != own[:-1]) | (owner[1:] != owner[:-1])][: len(own)])
                 last = np.r_[new[1:], len(own)] - 1
                 if len(new):
-                    columns = own[new].view(np.int64), docs_[owner[new]], place[new].astype(np.int32), place[last].astype(np.int32)
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["anchor", "doc_id", "low", "high"])
+                    begins = hashes[at[owner] + place] == own
+                    begins[last] = False
+                    twice = np.logical_or.reduceat(begins, new)
+                    columns = own[new].view(np.int64), docs_[owner[new]], rows[owner[new]], place[new].astype(np.int32), place[last].astype(np.int32), twice
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["anchor", "doc_id", "row", "low", "high", "twice"])
 
-    return map_arrow(docs.select("doc_id", "text"), find, "anchor long, doc_id long, low int, high int")
+    return map_arrow(docs.select("doc_id", "row", "text"), find, "anchor long, doc_id long, row long, low int, high int, twice boolean")
+
+
+def _parts(sums: np.ndarray, a: int, low: int, high: int, at: np.ndarray) -> list[tuple[int, int, int, int]]:
+    """(first, last, at, gram): a stretch of a text that begins at a, by the one place `at` at which strings hold the anchor, or else (-1) by their least longer gram."""
+    if len(at) == 1:
+        return [(low, high, int(at[0]), 0)]
+    long = GRAM + (LENGTH - GRAM) // 2
+    start = np.arange(low, high + 1)
+    before, after = np.searchsorted(at, start), np.searchsorted(at, start + LENGTH - GRAM, "right")
+    only = np.where(after - before == 1, at[before], -1)
+    grams = a + np.arange(low, high + LENGTH - long + 1)
+    gram = np.where(only < 0, sliding(spans_hash(sums, grams, grams + long), LENGTH - long + 1, np.minimum), np.uint64(0))
+    new = np.flatnonzero(np.r_[True, (only[1:] != only[:-1]) | (gram[1:] != gram[:-1])])
+    return list(zip(start[new].tolist(), (np.r_[start[new[1:]], high + 1] - 1).tolist(), only[new].tolist(), gram[new].tolist(), strict=True))
 
 
 def segments(docs: DataFrame, places: DataFrame, frequent: int = FREQUENT) -> DataFrame:
-    """The bytes of each stretch, by what brings equal strings together; inside is the anchor's place, -1 where it has several."""
+    """The bytes of each stretch, by what brings equal strings together; inside is the anchor's place, -1 where it has several.
+
+    What strings of a frequent anchor meet by depends on their own bytes only, not on their stretch."""
     half = (LENGTH - GRAM) // 2
 
     def cut(batches):
         for batch in batches:
             for part in slices(batch):
-                raw, ends = text_bytes(part.column(1))
+                raw, ends = text_bytes(part.column(2))
                 sums = prefix_hash(raw)
                 start = np.arange(max(0, len(raw) - GRAM + 1))
                 hashes = spans_hash(sums, start, start + GRAM)
                 rows: list[tuple] = []
-                for doc, a, own in zip(part.column(0).to_pylist(), ends.tolist(), part.column(2), strict=False):
+                for doc, row, a, own in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), ends.tolist(), part.column(3), strict=False):
                     lows, highs, anchors, counts = (own.values.field(k).to_numpy() for k in range(4))
                     for low, high, anchor, n in zip(lows.tolist(), highs.tolist(), anchors.tolist(), counts.tolist()):
-                        at = -1
-                        if high - low <= LENGTH - GRAM:  # the anchor stands in all of the stretch's strings
-                            found = np.flatnonzero(hashes[a + high : a + low + LENGTH - GRAM + 1].view(np.int64) == anchor)
-                            at = high + int(found[0]) if len(found) == 1 else -1
-                        if n <= frequent or at < 0:
-                            rows.append((anchor, doc, low, raw[a + low : a + high + LENGTH].tobytes(), at - low if at >= 0 else -1, n > frequent))
+                        found = low + np.flatnonzero(hashes[a + low : a + high + LENGTH - GRAM + 1].view(np.int64) == anchor)
+                        if n <= frequent:
+                            rows.append((anchor, doc, low, row, raw[a + low : a + high + LENGTH].tobytes(), int(found[0]) - low if len(found) == 1 else -1, False))
                             continue
-                        # Strings that go `half` bytes beyond the anchor to the right, and the others, which go as far to the left.
-                        for side, x, y, first, last in ((1, at, at + GRAM + half, max(low, at - half), high), (2, at - half, at + GRAM, low, min(high, at - half - 1))):
-                            if first <= last:
-                                key = int(mix(spans_hash(sums, np.array([a + x]), np.array([a + y])) + np.uint64(side)).view(np.int64)[0])
-                                rows.append((key, doc, first, raw[a + first : a + last + LENGTH].tobytes(), at - first, True))
+                        for x, y, at, gram in _parts(sums, a, low, high, found):
+                            if at < 0:
+                                key = int(mix(np.array([gram], np.uint64) + np.uint64(3)).view(np.int64)[0])
+                                rows.append((key, doc, x, row, raw[a + x : a + y + LENGTH].tobytes(), -1, True))
+                                continue
+                            # Strings that go `half` bytes beyond the anchor to the right, and the others, which go as far to the left.
+                            for side, u, v, first, last in ((1, at, at + GRAM + half, max(x, at - half), y), (2, at - half, at + GRAM, x, min(y, at - half - 1))):
+                                if first <= last:
+                                    key = int(mix(spans_hash(sums, np.array([a + u]), np.array([a + v])) + np.uint64(side)).view(np.int64)[0])
+                                    rows.append((key, doc, first, row, raw[a + first : a + last + LENGTH].tobytes(), at - first, True))
                     if len(rows) > 4000:
                         yield _batches(rows, _SEGMENT)
                         rows = []
                 if rows:
                     yield _batches(rows, _SEGMENT)
 
-    return map_arrow(docs.select("doc_id", "text").join(places, "doc_id").select("doc_id", "text", "places"), cut, _SEGMENT)
+    return map_arrow(docs.join(places, ["doc_id", "row"]).select("doc_id", "row", "text", "places"), cut, _SEGMENT)
 
 
 # ---------------------------------------------------------------- transforms
@@ -173,12 +196,12 @@ def repeated(shards: list[Shard], depth: int) -> tuple[np.ndarray, np.ndarray]:
     return origin[place], block
 
 
-def later_starts(found: list[tuple[int, int, bytes]], length: int = LENGTH) -> list[tuple[int, int]]:
-    """(doc, start) of the strings in segments (doc, start, bytes) that also start earlier in one of them."""
+def later_starts(found: list[tuple[int, int, int, bytes]], length: int = LENGTH) -> list[tuple[int, int, int]]:
+    """(doc, row, start) of the strings in segments (doc, start, row, bytes) that also start earlier in one of them."""
     shards, group, size, where = [], [], 0, []
-    for doc, start, segment in found:
+    for doc, start, row, segment in found:
         group.append(segment)
-        where.append((doc, start, len(segment) + 1))
+        where.append((doc, start, row, len(segment) + 1))
         size += len(segment) + 1
         if size >= SHARD_BYTES:
             shards.append(Shard(group))
@@ -188,7 +211,7 @@ def later_starts(found: list[tuple[int, int, bytes]], length: int = LENGTH) -> l
     if not shards:
         return []
     place, block = repeated(shards, length)
-    sizes = np.array([x[2] for x in where])
+    sizes = np.array([x[3] for x in where])
     first = np.concatenate([[0], np.cumsum(sizes)[:-1]])
     counts = np.bincount(block)
     some = np.flatnonzero(counts[block] > 1)
@@ -196,13 +219,14 @@ def later_starts(found: list[tuple[int, int, bytes]], length: int = LENGTH) -> l
         return []
     place, block = place[some], block[some]
     owner = np.searchsorted(first, place, "right") - 1
-    doc, start = np.array([x[0] for x in where])[owner], np.array([x[1] for x in where])[owner] + place - first[owner]
+    doc, start, row = (np.array([x[k] for x in where])[owner] for k in range(3))
+    start = start + place - first[owner]
     order = np.lexsort((start, doc, block))
-    doc, start, block = doc[order], start[order], block[order]
+    doc, start, row, block = doc[order], start[order], row[order], block[order]
     head = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]]))
     low = np.repeat(head, np.diff(np.append(head, len(block))))
     late = (doc != doc[low]) | (start != start[low])
-    return list(set(zip(doc[late].tolist(), start[late].tolist(), strict=True)))
+    return list(set(zip(doc[late].tolist(), row[late].tolist(), start[late].tolist(), strict=True)))
 
 
 # ---------------------------------------------------------------- groups
@@ -216,26 +240,29 @@ def _batches(rows: list[tuple], schema: str) -> pa.RecordBatch:
 
 def _rows(batches):
     for batch in batches:
-        yield from zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True)
+        yield from zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True)
 
 
 #: A run of removed starts, or else (low is null) a segment that goes on.
-_FOUND = "key long, doc_id long, start long, segment binary, inside int, low long, high long"
+_FOUND = "key long, doc_id long, start long, row long, segment binary, inside int, low long, high long"
 
 
-def _copy(doc, start, segment):
-    return (None, doc, None, None, None, start, start + len(segment) - LENGTH)
+def _copy(doc, start, row, segment):
+    return (None, doc, None, row, None, None, start, start + len(segment) - LENGTH)
 
 
 def copies(batches):
-    """Of rows in order of (key, segment, doc_id, start): the first of equal segments goes on, the others start removed strings throughout."""
-    last, out = None, []
-    for key, doc, start, segment, inside in _rows(batches):
-        if last != (key, segment):
-            last = (key, segment)
-            out.append((key, doc, start, segment, inside, None, None))
-        elif len(segment) >= LENGTH:
-            out.append(_copy(doc, start, segment))
+    """Of rows in order of (key, segment, doc_id, start, row): the first of equal segments goes on, the others start removed strings throughout.
+
+    Rows of one doc_id that hold it at one start precede each other nowhere, so all of them go on."""
+    last = head = known = None
+    out = []
+    for key, doc, start, row, segment, inside in _rows(batches):
+        if last != (key, segment) or (head == (doc, start) and known != row):
+            last, head, known = (key, segment), (doc, start), row
+            out.append((key, doc, start, row, segment, inside, None, None))
+        elif head != (doc, start) and len(segment) >= LENGTH:
+            out.append(_copy(doc, start, row, segment))
         if len(out) >= 2000:
             yield _batches(out, _FOUND)
             out = []
@@ -243,15 +270,15 @@ def copies(batches):
         yield _batches(out, _FOUND)
 
 
-def _runs(found: list[tuple[int, int]]) -> list[tuple]:
+def _runs(found: list[tuple[int, int, int]]) -> list[tuple]:
     """Neighbouring starts as rows."""
     out: list[list[int]] = []
-    for doc, start in sorted(found):
-        if out and out[-1][0] == doc and out[-1][2] + 1 >= start:
-            out[-1][2] = start
+    for doc, row, start in sorted(found):
+        if out and out[-1][:2] == [doc, row] and out[-1][3] + 1 >= start:
+            out[-1][3] = start
         else:
-            out.append([doc, start, start])
-    return [(None, d, None, None, None, a, b) for d, a, b in out]
+            out.append([doc, row, start, start])
+    return [(None, d, None, r, None, None, a, b) for d, r, a, b in out]
 
 
 def _alike(x: bytes, y: bytes) -> int:
@@ -276,53 +303,54 @@ def _extents(sides: list[bytes]) -> list[int]:
     return out
 
 
-def trimmed(own: list[tuple[int, int, bytes, int]]) -> tuple[list[tuple[int, int, bytes]], list[tuple]]:
+def trimmed(own: list[tuple[int, int, int, bytes, int]]) -> tuple[list[tuple[int, int, int, bytes]], list[tuple]]:
     """What of the distinct segments of one anchor may be in a string of two of them, and rows for those that are then equal to one before.
 
     Equal strings hold the anchor at one place, so they reach no further to either side of it than the segment agrees with any other."""
     if len(own) < 2 and all(i >= 0 for *_, i in own):
         return [], []
     if any(i < 0 for *_, i in own):
-        return [x[:3] for x in own], []
-    after = _extents([s[i:] for _, _, s, i in own])
-    before = _extents([s[:i][::-1] for _, _, s, i in own])
-    cut = sorted((s[i - b : i + a], doc, start + i - b) for (doc, start, s, i), a, b in zip(own, after, before, strict=True) if a + b >= LENGTH)
-    kept, gone = [], []
-    for k, (s, doc, start) in enumerate(cut):
-        if k and cut[k - 1][0] == s:
-            gone.append(_copy(doc, start, s))
+        return [x[:4] for x in own], []
+    after = _extents([s[i:] for *_, s, i in own])
+    before = _extents([s[:i][::-1] for *_, s, i in own])
+    cut = sorted((s[i - b : i + a], doc, start + i - b, row) for (doc, start, row, s, i), a, b in zip(own, after, before, strict=True) if a + b >= LENGTH)
+    kept, gone, head = [], [], None
+    for s, doc, start, row in cut:
+        if head and head[0] == s and head[1:] != (doc, start):
+            gone.append(_copy(doc, start, row, s))
         else:
-            kept.append((doc, start, s))
+            head = s, doc, start
+            kept.append((doc, start, row, s))
     return (kept, gone) if len(kept) > 1 else ([], gone)
 
 
 def merge(batches, merge_bytes: int = MERGE_BYTES, large_bytes: int = LARGE_BYTES):
-    """Of rows in order of (key, segment, doc_id, start): runs of removed starts. Keys gather until MERGE_BYTES are full.
+    """Of rows in order of (key, segment, doc_id, start, row): runs of removed starts. Keys gather until MERGE_BYTES are full.
 
     A key of more than LARGE_BYTES of distinct segments is not held: its segments go on."""
-    gathered: list[tuple[int, int, bytes]] = []
-    own: list[tuple[int, int, bytes, int]] = []
+    gathered: list[tuple[int, int, int, bytes]] = []
+    own: list[tuple[int, int, int, bytes, int]] = []
     out: list[tuple] = []
     size = held = 0
-    key_now = last = None
+    key_now = last = head = known = None
     large = False
-    for key, doc, start, segment, inside in _rows(batches):
+    for key, doc, start, row, segment, inside in _rows(batches):
         if key != key_now:
             some, gone = trimmed(own)
             gathered += some
             out += gone
-            size += sum(len(s) for _, _, s in some)
+            size += sum(len(s) for *_, s in some)
             own, held, key_now, last, large = [], 0, key, None, False
-        if segment == last:
-            if len(segment) >= LENGTH:
-                out.append(_copy(doc, start, segment))
+        if segment == last and (head != (doc, start) or known == row):
+            if head != (doc, start) and len(segment) >= LENGTH:
+                out.append(_copy(doc, start, row, segment))
         else:
-            last = segment
+            last, head, known = segment, (doc, start), row
             held += len(segment)
-            own.append((doc, start, segment, inside))
+            own.append((doc, start, row, segment, inside))
             if large or held > large_bytes:
                 large = True
-                out += [(key, d, a, s, i, None, None) for d, a, s, i in own]
+                out += [(key, d, a, r, s, i, None, None) for d, a, r, s, i in own]
                 own = []
         if size >= merge_bytes:
             out += _runs(later_starts(gathered))
@@ -339,31 +367,31 @@ def merge(batches, merge_bytes: int = MERGE_BYTES, large_bytes: int = LARGE_BYTE
 def every_start(batches):
     """The hash of each string in a segment."""
     for batch in batches:
-        for doc, start, segment in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+        for doc, start, row, segment in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
             if (n := len(segment) - LENGTH + 1) > 0:
                 digests = [hashlib.blake2b(segment[i : i + LENGTH], digest_size=16).digest() for i in range(n)]
-                yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), pa.array([doc] * n, pa.int64()), pa.array(range(start, start + n), pa.int64())], ["digest", "doc_id", "at"])
+                yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), pa.array([doc] * n, pa.int64()), pa.array([row] * n, pa.int64()), pa.array(range(start, start + n), pa.int64())], ["digest", "doc_id", "row", "at"])
 
 
 def removed_starts(docs: DataFrame, keep: Stage, frequent: int = FREQUENT, merge_bytes: int = MERGE_BYTES, large_bytes: int = LARGE_BYTES) -> DataFrame:
-    """(doc_id, low, high): every start in [low, high] begins a string that also starts earlier."""
+    """(doc_id, row, low, high): every start in [low, high] begins a string that also starts earlier."""
     found = stretches(docs)
-    # A stretch longer than the window holds its anchor twice, so it may repeat strings of its own.
-    counts = found.groupBy("anchor").agg(F.count("*").alias("n"), F.max(F.col("high") - F.col("low")).alias("wide")).where((F.col("n") > 1) | (F.col("wide") > LENGTH - GRAM)).select("anchor", "n")
-    places = found.join(counts, "anchor").groupBy("doc_id").agg(F.collect_list(F.struct("low", "high", "anchor", "n")).alias("places"))  # as many as the document's stretches
+    # A stretch that holds its anchor twice may repeat strings of its own.
+    counts = found.groupBy("anchor").agg(F.count("*").alias("n"), F.max("twice").alias("twice")).where((F.col("n") > 1) | F.col("twice")).select("anchor", "n")
+    places = found.join(counts, "anchor").groupBy("doc_id", "row").agg(F.collect_set(F.struct("low", "high", "anchor", "n")).alias("places"))  # as many as the document's stretches
     places = keep.write(places, "places")
     cut = keep.write(segments(docs, places, frequent), "segments")
     keep.drop("places")
-    rows, order = ["key", "doc_id", "start", "segment", "inside"], ["key", "segment", "doc_id", "start"]
+    rows, order = ["key", "doc_id", "start", "row", "segment", "inside"], ["key", "segment", "doc_id", "start", "row"]
     salted = cut.where("frequent").repartition("key", F.pmod(F.xxhash64("segment", "doc_id"), F.lit(SALTS))).sortWithinPartitions(*order)
     first = keep.write(map_arrow(salted.select(*rows), copies, _FOUND), "frequent")
     rest = cut.where("not frequent").select(*rows).unionByName(first.where("low is null").select(*rows))
     merged = keep.write(map_arrow(rest.repartition("key").sortWithinPartitions(*order).select(*rows), partial(merge, merge_bytes=merge_bytes, large_bytes=large_bytes), _FOUND), "merged")
     keep.drop("segments")
-    large = map_arrow(merged.where("low is null").select("doc_id", "start", "segment"), every_start, "digest binary, doc_id long, at long")
+    large = map_arrow(merged.where("low is null").select("doc_id", "start", "row", "segment"), every_start, "digest binary, doc_id long, row long, at long")
     least = large.groupBy("digest").agg(F.min(F.struct("doc_id", "at")).alias("first"), F.max(F.struct("doc_id", "at")).alias("last")).where("first <> last").select("digest", "first")
-    late = large.join(least, "digest").where((F.col("doc_id") != F.col("first.doc_id")) | (F.col("at") != F.col("first.at"))).select("doc_id", F.col("at").alias("low"), F.col("at").alias("high"))
-    runs = [x.where("low is not null").select("doc_id", "low", "high") for x in (first, merged)]
+    late = large.join(least, "digest").where((F.col("doc_id") != F.col("first.doc_id")) | (F.col("at") != F.col("first.at"))).select("doc_id", "row", F.col("at").alias("low"), F.col("at").alias("high"))
+    runs = [x.where("low is not null").select("doc_id", "row", "low", "high") for x in (first, merged)]
     return runs[0].unionByName(runs[1]).unionByName(late)
 
 
@@ -386,8 +414,11 @@ def deduplicated(docs: DataFrame, **limits) -> DataFrame:
     keep = Stage(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     known = docs.where("doc_id is not null")
+    repeats = not known.groupBy("doc_id").count().where("count > 1").isEmpty()
+    row = F.xxhash64("text") if repeats else F.lit(0).cast("long")  # tells the texts of one doc_id apart
+    docs, known = docs.withColumn("row", row), known.withColumn("row", row)
     runs = removed_starts(known, keep, **limits)
-    grouped = keep.write(runs.groupBy("doc_id").agg(F.collect_set(F.struct("low", "high")).alias("runs")), "runs")  # as many as the document's starts
+    grouped = keep.write(runs.groupBy("doc_id", "row").agg(F.collect_set(F.struct("low", "high")).alias("runs")), "runs")  # as many as the document's starts
     keep.drop("frequent")
     keep.drop("merged")
 
@@ -400,7 +431,7 @@ def deduplicated(docs: DataFrame, **limits) -> DataFrame:
                 columns = [pa.array([len(t) for t in texts], pa.int64()), pa.array([len(t) - len(x) for t, (x, _) in zip(texts, left, strict=True)], pa.int64()), pa.array([n for _, n in left], pa.int64()), pa.array([x for x, _ in left], pa.binary())]
                 yield pa.RecordBatch.from_arrays([ids, *columns], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
 
-    return map_arrow(docs.join(grouped, "doc_id", "left").select("doc_id", "text", "runs"), cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    return map_arrow(docs.join(grouped, ["doc_id", "row"], "left").select("doc_id", "text", "runs"), cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
 
 
 def op4_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
